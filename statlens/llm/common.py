@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def batches(it: Iterable[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -
     for b in it:
         if not b.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > limit:

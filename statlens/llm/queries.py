@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod5, cut, table
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,54 @@ SELECT doc_id, size, source_size, target,
 FROM r0
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_mix_sources": op4_mix_sources}
-SQL: dict[str, str] = {"op4_mix_sources": OP4_SQL}
+def op1_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages against a replica in which one page in 16 has its first byte changed and one in 16 is lost, by id hash."""
+    from .fixity import archive, audit_hashed
+
+    fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1)
+    flipped = F.when(F.substring("html", 1, 1) == "#", F.concat(F.lit("@"), F.expr("substring(html, 2)"))).otherwise(F.concat(F.lit("#"), F.expr("substring(html, 2)")))
+    replica = F.when((fate == "0") & (F.length("html") > 0), flipped).when(fate == "1", F.lit(None)).otherwise(F.col("html"))
+    return audit_hashed(*archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), replica))
+
+
+OP1_SQL = r"""
+WITH r AS (SELECT 'part-' || coalesce(CAST(CAST(floor(page_id / 1000.0) AS BIGINT) AS VARCHAR), 'none') AS file, page_id, html, 
+                  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || chr(13) || chr(10)
+                  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
+o AS (SELECT file, page_id, html, CAST(strlen(rec) AS BIGINT) AS length,
+             CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY page_id, strlen(rec), sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT file, "offset", length, page_id AS record_id, CASE left(md5(CAST(page_id AS VARCHAR)), 1) WHEN '0' THEN 'changed' ELSE 'missing' END AS status
+FROM o WHERE (left(md5(CAST(page_id AS VARCHAR)), 1) = '0' AND length(html) > 0) OR (left(md5(CAST(page_id AS VARCHAR)), 1) = '1' AND html IS NOT NULL)
+"""
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import Model, count, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod5() == 0
+    model = Model.fit(cut(count(docs, ~held_out), "trigrams"))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", F.transform("language.languages", lambda x: x["lang"]).alias("languages"))
+
+
+def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import features, fit, score
+
+    held_out = crc_mod5() == 0
+    labels = table(spark, sf_dir, "labels").filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    rows = features(table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
+    rows = cut(rows.select("doc_id", held_out.alias("held_out"), F.coalesce(~held_out & F.col("good"), F.lit(False)).alias("positive"), "x"), "quality")
+    return score(rows, fit(rows)).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu}
+SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
