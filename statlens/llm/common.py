@@ -76,3 +76,24 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def crc_mod5(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5: 0 marks held-out documents."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def runs(it: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[tuple[object, pa.Table]]:
+    """The groups of rows that follow each other with the same key: batches come sorted by it. One group at a time is held."""
+    held: list[pa.RecordBatch] = []
+    of = None
+    for b in it:
+        if not b.num_rows:
+            continue
+        keys = b.column(key)
+        last = b.num_rows
+        edge = [0, *(pc.indices_nonzero(pc.not_equal(keys.slice(1), keys.slice(0, last - 1))).to_numpy() + 1).tolist(), last]
+        for i, j in zip(edge, edge[1:]):
+            k = keys[i].as_py()
+            if held and k != of:
+                yield of, pa.Table.from_batches(held)
+                held = []
+            of = k
+            held.append(b.slice(i, j - i))
+    if held:
+        yield of, pa.Table.from_batches(held)

@@ -29,6 +29,7 @@ MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 PENALTY = 2.0
 ROUNDS = 10
+RANKING_ROUNDS = 3
 MAX_SET = 4
 
 
@@ -123,27 +124,45 @@ class Model:
             rows = np.concatenate([np.arange(first[i], first[i] + words[has[i]]) for i in some])
             at = np.concatenate(([0], np.cumsum(words[has[some]])[:-1]))
             of, part = np.repeat(np.arange(len(some)), words[has[some]]), like[rows]
-            full, _ = _em(part, at, of, np.full((len(some), k), 1.0 / k))
-            order = np.argsort(-full, axis=1, kind="stable")
+            part = np.ascontiguousarray(part.T)
+            full = _em(part, at, of, np.full((k, len(some)), 1.0 / k), RANKING_ROUNDS)
+            order = np.argsort(-full, axis=0, kind="stable")
             for size in range(2, min(k, MAX_SET) + 1):
-                start = np.zeros_like(full)
-                np.put_along_axis(start, order[:, :size], 1.0 / size, axis=1)
-                pi, fit = _em(part, at, of, start)
-                gain = fit + floor[some] - size * cost[some]
-                better = np.flatnonzero(gain > value[some])
-                chosen[some[better]], value[some[better]] = pi[better], gain[better]
+                # The next language has to hold a word's worth, and the set without it has to have been worth it.
+                pays = np.take_along_axis(full, order[size - 1 : size], axis=0)[0] * words[has[some]] >= 1
+                pays &= (size == 2) | ((chosen[some] > 0).sum(axis=1) == size - 1)
+                if not pays.any():
+                    break
+                sub = np.flatnonzero(pays)
+                take = pays[of]
+                n = words[has[some[sub]]]
+                start = np.zeros((k, len(sub)))
+                np.put_along_axis(start, order[:size, sub], 1.0 / size, axis=0)
+                sub_part, sub_at, sub_of = part[:, take], np.concatenate(([0], np.cumsum(n)[:-1])), np.repeat(np.arange(len(sub)), n)
+                pi = _em(sub_part, sub_at, sub_of, start, ROUNDS)
+                fit = np.add.reduceat(np.log(np.maximum(_mixed(sub_part, sub_of, pi)[1], 1e-300)), sub_at)
+                gain = fit + floor[some[sub]] - size * cost[some[sub]]
+                better = gain > value[some[sub]]
+                chosen[some[sub[better]]], value[some[sub[better]]] = pi.T[better], gain[better]
         shares[has] = chosen
         return shares, words
 
 
-def _em(like: np.ndarray, first: np.ndarray, doc: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares after ROUNDS rounds from pi, and each text's log-likelihood under them."""
-    n = np.diff(np.concatenate((first, [len(doc)])))[:, None]
-    for _ in range(ROUNDS):
-        r = like * pi[doc]
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-        pi = np.add.reduceat(r, first, axis=0) / n
-    return pi, np.add.reduceat(np.log(np.maximum((like * pi[doc]).sum(axis=1), 1e-300)), first)
+def _mixed(like: np.ndarray, doc: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's likelihood in each language times the language's share in its text, and their sums; languages lie in rows."""
+    parts = np.take(pi, doc, axis=1)
+    parts *= like
+    return parts, parts.sum(axis=0)
+
+
+def _em(like: np.ndarray, first: np.ndarray, doc: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
+    """The shares after so many rounds from pi on."""
+    n = np.diff(np.concatenate((first, [len(doc)])))
+    for _ in range(rounds):
+        parts, total = _mixed(like, doc, pi)
+        parts /= np.maximum(total, 1e-300)
+        pi = np.add.reduceat(parts, first, axis=1) / n
+    return pi
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

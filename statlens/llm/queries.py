@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import crc_mod5, cut, table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -85,7 +91,7 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(rows, fit(rows)).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu}
 SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
 
 
