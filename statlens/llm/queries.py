@@ -81,6 +81,12 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", F.transform("language.languages", lambda x: x["lang"]).alias("languages"))
 
 
+def op6_vector_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_join import join
+
+    return join(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import features, fit, score
 
@@ -91,7 +97,7 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(rows, fit(rows)).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu}
 SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
 
 
