@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import crc_mod5, cut, table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches, prepared
+
+    docs = table(spark, sf_dir, "documents")
+    return matches(docs, prepared(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join
 
@@ -97,7 +104,13 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(rows, fit(rows)).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu}
+def op10_pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import digest, pack
+
+    return digest(pack(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op2_decontaminate": op2_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu, "op10_pack_rows": op10_pack_rows}
 SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
 
 

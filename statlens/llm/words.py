@@ -14,6 +14,8 @@ import numpy as np
 _M = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_PLAIN = _FOLD.copy()
+_PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -49,8 +51,9 @@ class Words:
     first: for each text the number of its first word, with one more at the end; hash: of each word.
     """
 
-    def __init__(self, texts: list[bytes]) -> None:
-        self.buf = _FOLD[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    def __init__(self, texts: list[bytes], plain: bool = False) -> None:
+        """plain: ASCII punctuation and signs count as spaces."""
+        self.buf = (_PLAIN if plain else _FOLD)[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
         space = _SPACE[self.buf]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space))))
         self.start, self.end = edge[::2], edge[1::2]
