@@ -104,13 +104,21 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(rows, fit(rows)).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fuzzy_lines import dedup
+
+    lines = dedup(table(spark, sf_dir, "documents"))
+    counts = [F.count("*").alias("n_lines"), F.sum(F.col("kept").cast("int")).alias("n_kept"), F.sum(F.when(F.col("kept"), F.col("chars")).otherwise(0)).alias("n_chars_kept")]
+    return lines.groupBy("doc_id").agg(*counts, F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("place")))).alias("removed"))
+
+
 def op10_pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import digest, pack
 
     return digest(pack(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op2_decontaminate": op2_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu, "op10_pack_rows": op10_pack_rows}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op2_decontaminate": op2_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_pack_rows": op10_pack_rows}
 SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
 
 
