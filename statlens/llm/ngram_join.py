@@ -6,11 +6,11 @@ each, in any order that is the same for all. Overlap counts on these are added u
 the size-derived bounds are dropped. The pairs left form candidate groups, and in each group the document by
 n-gram incidence matrix is multiplied with its transpose in blocks, which gives exact overlaps of all pairs.
 
-Frequent n-grams would make all pairs of their documents. So the first order is by hash, and n-grams of over HOT documents
-make no pairs there; documents whose prefix holds one (call them heavy) are joined with one another again in
-order of frequency among them, rarest first. What is then frequent still belongs to large groups of near copies,
-which go to the matrix product as a whole, in tiles of bounded size: first each tile on its own and against one other; then
-only documents outside their group's main component, against all others of fitting size. No link is lost by that.
+Frequent n-grams would make all pairs of their documents. So the order is by hash, but with frequent n-grams last; they are
+learnt on one class in SAMPLED, which bears on speed alone: any order gives the same links. Classes whose prefix would need frequent ones
+(heavy ones: they consist of what many documents share) are joined with one another again, in order of
+frequency among them, rarest first. What is then frequent still belongs to large groups of near copies,
+which go to the matrix product as a whole, in tiles of bounded size (see tiles.py). No link is lost by that.
 
 Defined cases: a null, empty or blank text has no n-grams, links with nothing and is its own component; a text with
 fewer than n words has its whole sequence as the only n-gram. Repeated rows (same id or not) are copies of a class and linked.
@@ -19,22 +19,25 @@ Sets are told apart by 64-bit digests, n-grams by 64-bit hashes. Other columns a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batches, cut, runs, text_bytes
+from . import tiles
+from .common import batches, cut, text_bytes
 from .components import components
 from .words import Words, mix, shingle_sets
 
 #: N-grams that two prefixes must share.
 LEAST = 3
-#: An n-gram in more documents than this makes no pairs.
-HOT = 48
+#: An n-gram in more classes than this makes no pairs: in the first order, where only n-grams that the sample missed are so frequent, and in that by frequency.
+HOT, HOT_AGAIN = 48, 48
+#: One document in so many shows which n-grams are frequent: those of FREQUENT of them or more, MAX_FREQUENT (8 bytes each) at most.
+SAMPLED, FREQUENT, MAX_FREQUENT = 16, 4, 2_000_000
 #: Documents and n-grams that one side of a tile holds, on average at most.
 TILE_DOCS, TILE_GRAMS = 192, 400_000
 #: Ids up to this many are broadcast, 16 bytes each; more are joined by a shuffle.
@@ -48,20 +51,44 @@ def _set_digest(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix((total[offsets[1:]] - total[offsets[:-1]]) + size * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def frequent(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
+    """N-grams of many documents, by a sample: MAX_FREQUENT at most, the most frequent ones."""
+    sample = docs.filter(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SAMPLED)) == 0).select(text)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 0):
+            value, at = shingle_sets(Words(text_bytes(b.column(0))[0]), n)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_digest(value, at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], names=["c", "grams"])
+
+    grams = sample.mapInArrow(run, "c long, grams array<long>").dropDuplicates(["c"]).select(F.explode("grams").alias("t"))
+    often = grams.groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") >= FREQUENT)
+    return np.sort(often.orderBy(F.desc("df"), "t").limit(MAX_FREQUENT).toPandas()["t"].to_numpy(np.int64).view(np.uint64))
+
+
 def signatures(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, c (digest of the set) and prefix (its least n-gram hashes) of every row."""
+    """doc_id, n, c (digest of the set), prefix (its least n-gram hashes, frequent ones left out) and heavy (the prefix is short of them) of every row."""
+    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, n, doc_id, text))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = last.value
         for b in batches(it, 1):
             value, at = shingle_sets(Words(text_bytes(b.column(1))[0]), n)
             size = np.diff(at)
-            keep = np.minimum(size, size + (-percent * size // 100) + LEAST)
+            digest = _set_digest(value, at)
+            owner = np.repeat(np.arange(len(size)), size)
+            if len(late):
+                soon = late[np.minimum(np.searchsorted(late, value), len(late) - 1)] != value
+                value, owner = value[soon], owner[soon]
+            left = np.bincount(owner, minlength=len(size))
+            at = np.concatenate(([0], np.cumsum(left)))
+            want = np.minimum(size, size + (-percent * size // 100) + LEAST)
+            keep = np.minimum(left, want)
             ends = np.concatenate(([0], np.cumsum(keep)))
             take = np.repeat(at[:-1] - ends[:-1], keep) + np.arange(ends[-1])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[take].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(size), pa.array(_set_digest(value, at)), prefix], names=["doc_id", "n", "c", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(size), pa.array(digest), pa.array(left < want), prefix], names=["doc_id", "n", "c", "heavy", "prefix"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, c long, prefix array<long>")
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, c long, heavy boolean, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
@@ -80,33 +107,78 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str)
     return rows.mapInArrow(run, "c long, grams array<long>").dropDuplicates(["c"])
 
 
-def _pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes that share enough of their prefixes' n-grams. tokens: t, c, n; of n-grams in HOT classes at most."""
-    x, y = tokens.select("t", F.col("c").alias("a"), F.col("n").alias("na")), tokens.select("t", F.col("c").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("a") < F.col("b")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+def _pairs(tokens: DataFrame, percent: int, hot: int) -> DataFrame:
+    """a, b: edges such that all links between classes that meet in these prefixes lie in their components. tokens: t, c, n.
+
+    An n-gram of up to `hot` classes makes pairs of fitting sizes, counted once for each n-gram that they share; one of
+    more ties all its classes to one of them, which is an edge with a count that suffices.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for b in _then_none(it):
+            if b is not None:
+                held = [np.concatenate((h, b.column(k).to_numpy())) for k, h in enumerate(held)]
+            t, c, n = held
+            if not len(t):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            length = np.diff(np.concatenate((new, [len(t)])))
+            # The last run may go on; it is held back, or, if long, all but its first class are sent off.
+            done = len(new) if b is None else len(new) - 1
+            out = []
+            for size in np.unique(length[:done]).tolist():
+                if size < 2:
+                    continue
+                at = new[:done][length[:done] == size]
+                if size > hot:
+                    for s in at.tolist():
+                        out.append((np.full(size - 1, c[s]), c[s + 1 : s + size], np.zeros(size - 1, np.int64), np.zeros(size - 1, np.int64), np.full(size - 1, LEAST)))
+                    continue
+                i, j = np.triu_indices(size, 1)
+                i, j = (at[:, None] + i[None]).ravel(), (at[:, None] + j[None]).ravel()
+                ok = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+                i, j = i[ok], j[ok]
+                swap = c[i] > c[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                out.append((c[i], c[j], n[i], n[j], np.ones(len(i), np.int64)))
+            if b is not None:
+                s = new[done]
+                if length[done] > 4 * hot:  # too long to hold: tie it up now, keep hot + 1 of it so that it stays a long run
+                    m = len(t) - s
+                    out.append((np.full(m - 1, c[s]), c[s + 1 :], np.zeros(m - 1, np.int64), np.zeros(m - 1, np.int64), np.full(m - 1, LEAST)))
+                    held = [x[s : s + hot + 1] for x in held]
+                else:
+                    held = [x[s:] for x in held]
+            else:
+                held = [x[:0] for x in held]
+            for k in range(0, len(out), 64):
+                cols = [np.concatenate(x) for x in zip(*out[k : k + 64])]
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["a", "b", "na", "nb", "k"])
+
+    rows = tokens.select("t", "c", "n").repartition("t").sortWithinPartitions("t", "c").mapInArrow(run, "a long, b long, na long, nb long, k long")
     need = F.least(F.lit(LEAST), F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9))
-    return x.join(y, "t").filter(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(F.col("shared") >= need).select("a", "b")
+    return rows.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("shared")).filter(F.col("shared") >= need).select("a", "b")
 
 
-def candidates(docs: DataFrame, classes: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """a, b: edges such that all links lie within the components that they form."""
-    tokens = classes.select("c", "n", F.explode("prefix").alias("t"))
-    often = tokens.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    tokens = cut(tokens.join(often, "t").select("t", "c", "n", "df"), "prefixes")
-    pairs = _pairs(tokens.filter(F.col("df") <= HOT), percent)
-    heavy = tokens.filter(F.col("df") > HOT).select("c").distinct().join(classes.select("c", "n", "first_id"), "c")
-    heavy = cut(heavy, "heavy")
+def _then_none(it: Iterator) -> Iterator:
+    yield from it
+    yield None
+
+
+def candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """a, b: edges such that all links lie within the components that they form. rows: signatures()."""
+    prefixes = rows.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    pairs = cut(_pairs(prefixes.select("c", "n", F.explode("prefix").alias("t")), percent, HOT), "pairs")
+    heavy = cut(rows.filter("heavy").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id")), "heavy")
     grams = sets_of(docs, heavy, n, doc_id, text).join(heavy.select("c", "n"), "c").select("c", "n", F.explode("grams").alias("t"))
     grams = cut(grams, "heavy-grams")
     often = grams.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = grams.join(often, "t", "left").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("all"))
     first = F.least(F.col("n"), F.col("n") + LEAST - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).cast("int")
     rare = ranked.select("c", "n", F.explode(F.slice("all", F.lit(1), first)).alias("x")).select("c", "n", "x.t", "x.df").filter("df > 1")
-    rare = cut(rare, "rare")
-    again = _pairs(rare.filter(F.col("df") <= HOT), percent)
-    still = rare.filter(F.col("df") > HOT)
-    stars = still.join(still.groupBy("t").agg(F.min("c").alias("least")), "t").select(F.col("c").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
-    return pairs.union(again).union(stars)
+    return pairs.union(_pairs(rare, percent, HOT_AGAIN))
 
 
 def _product(docs: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -130,80 +202,28 @@ def _product(docs: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.n
     return out
 
 
-def _forest(docs: list[np.ndarray], ids: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among documents of a tile, left ones with right ones (or all of them, where a tile is one unit): a spanning forest of them."""
+def _forest(docs: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, forest: tiles.Forest) -> None:
+    """Links among sets of a tile, left ones with right ones (or all of them, where a tile is one unit)."""
     size = np.array([len(d) for d in docs], np.int64)
     rows, cols = np.flatnonzero(left), np.flatnonzero(right)
     both = _product(docs, rows, cols).astype(np.int64)
     linked = 100 * both >= percent * (size[rows][:, None] + size[cols][None] - both)
-    root = np.arange(len(docs))
-    out = []
     for k, i in enumerate(rows.tolist()):
         for j in cols[linked[k]].tolist():
-            if root[i] != root[j]:
-                out.append((int(ids[i]), int(ids[j])))
-                root[root == root[j]] = root[i]
-    return out
+            forest.link(i, j)
 
 
-def _tiles(members: DataFrame, tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links found in tiles. members: c, g, unit; tiles: g, ua, ub, tile."""
-    sides = tiles.select("g", F.col("ua").alias("unit"), "tile", F.lit(True).alias("left"), (F.col("ua") == F.col("ub")).alias("right"))
-    sides = sides.union(tiles.filter("ua <> ub").select("g", "ub", "tile", F.lit(False), F.lit(True)))
-    rows = members.join(sides, ["g", "unit"]).select("tile", "c", "left", "right").join(sets, "c").select("tile", "c", "left", "right", "grams")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in runs(it):
-            ids = t.column("c").to_numpy()
-            docs = [g for chunk in t.column("grams").chunks for g in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
-            found = _forest(docs, ids, np.array(t.column("left").to_pylist()), np.array(t.column("right").to_pylist()), percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-
-    return rows.repartition("tile").sortWithinPartitions("tile", "c").mapInArrow(run, "a long, b long")
-
-
-def _units(members: DataFrame, part: list[str]) -> tuple[DataFrame, DataFrame]:
-    """members with a unit number, hashed into as many units as part needs; and the units: g, unit and part's columns."""
-    size = members.groupBy("g", *part).agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
-    size = size.withColumn("k", F.ceil(F.greatest(F.col("m") / TILE_DOCS, F.col("grams") / TILE_GRAMS)).cast("int"))
-    named = lambda i: F.xxhash64(*part, i) if part else i.cast("long")
-    m = members.join(size.select("g", *part, "k"), ["g", *part]).withColumn("i", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
-    units = size.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return m.withColumn("unit", named(F.col("i"))), units.withColumn("unit", named(F.col("i")))
-
-
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """c, root: the linked classes' components."""
-    groups = components(cut(candidates(docs, classes, n, percent, doc_id, text), "candidates"))
-    members = cut(groups.select(F.col("node").alias("c"), F.col("root").alias("g")).join(classes.select("c", "n", "first_id"), "c"), "members")
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """node, root: the linked classes' components. rows: signatures(); classes: c, n, first_id."""
+    groups = components(cut(candidates(docs, rows, n, percent, doc_id, text), "candidates"))
+    members = cut(groups.select(F.col("node").alias("c"), F.col("root").alias("g")).join(classes, "c"), "members")
     sets = cut(sets_of(docs, members, n, doc_id, text), "sets")
-    # First each unit on its own and against the first of its group and size band.
-    base = -math.log(percent / 100)
-    banded = members.withColumn("band", F.floor(F.log("n") / base))
-    total = members.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    small = (F.col("m") <= TILE_DOCS) & (F.col("s") <= TILE_GRAMS)
-    banded = cut(banded.join(total, "g").withColumn("band", F.when(small, F.lit(0)).otherwise(F.col("band"))).withColumn("whole", small).drop("m", "s"), "banded")
-    m, units = _units(banded, ["band"])
-    own = units.select("g", F.col("unit").alias("ua"), F.col("unit").alias("ub"))
-    zero = units.filter("i = 0").select("g", "band", F.col("unit").alias("ub"))
-    pivot = units.filter("i > 0").select("g", "band", F.col("unit").alias("ua")).join(zero, ["g", "band"]).select("g", "ua", "ub")
-    tile = F.xxhash64("g", "ua", "ub").alias("tile")
-    first = cut(_tiles(m, own.union(pivot).select("g", "ua", "ub", tile), sets, percent), "links")
-    # Then, in groups of several units, what is outside the main component against everything of fitting size.
-    rest = banded.filter(~F.col("whole"))
-    found = components(first)
-    if rest.isEmpty():
-        return found
-    rest = rest.join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    main = rest.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    rest = cut(rest.join(main, "g").select("c", "n", "g", "band", (F.col("root") == F.col("main")).alias("core")), "rest")
-    m, units = _units(rest, ["band", "core"])
-    a, b = units.select("g", F.col("unit").alias("ua"), F.col("band").alias("ba"), F.col("core").alias("ca")), units.select("g", F.col("unit").alias("ub"), F.col("band").alias("bb"), F.col("core").alias("cb"))
-    near = (F.abs(F.col("ba") - F.col("bb")) <= 1) & ~F.col("ca") & (F.col("cb") | (F.col("ua") <= F.col("ub")))
-    tiles = a.join(b, "g").filter(near).select("g", "ua", "ub", tile)
-    second = _tiles(m, tiles, sets, percent)
-    return components(cut(first.union(second), "links"))
+
+    def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
+        grams = t.column("grams").chunk(0)
+        _forest(np.split(grams.flatten().to_numpy(), np.cumsum(grams.value_lengths().to_numpy())[:-1]), left, right, percent, forest)
+
+    return tiles.links(members.select("c", "g", "n"), sets, kernel, percent / 100, TILE_DOCS, TILE_GRAMS)
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,11 +233,35 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     """
     rows = cut(signatures(docs, n, percent, doc_id, text), "signatures")
     full = rows.filter("n > 0")
-    classes = cut(full.groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix")), "classes")
-    found = links(docs, classes, n, percent, doc_id, text)
+    classes = cut(full.groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id")), "classes")
+    found = links(docs, rows, classes, n, percent, doc_id, text)
     least = classes.select("c", "first_id").join(found.withColumnRenamed("node", "c"), "c")
     least = least.join(least.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("c", "component_id")
     ids = classes.select("c", "first_id").join(least, "c", "left").select("c", F.coalesce("component_id", "first_id").alias("component_id"))
     out = full.select("doc_id", "n", "c").join(ids, "c")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"))
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id")))
+
+
+def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without all but one document of each component: the one with the least id stays, and one row of that, whole. Documents without n-grams stay."""
+    found = cut(join(docs, n, percent, doc_id, text), "decided")
+    rows, ids, pairs = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("doc_id", F.coalesce("class_id", F.lit(0)))).first()
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_c"))
+    if rows == ids:
+        gone = F.broadcast(gone.select("_id")) if gone.count() <= BROADCAST_IDS else gone.select("_id")
+        return docs.join(gone, docs[doc_id].cast("long") == F.col("_id"), "left_anti")
+    # Ids that repeat or are null: rows are told apart by their sets too, and copies under one id are made one.
+    place = docs.columns.index(text)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, place):
+            value, at = shingle_sets(Words(text_bytes(b.column(place))[0]), n)
+            c = pa.array(_set_digest(value, at), mask=np.diff(at) == 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, c], names=[*b.schema.names, "_c_"])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_c_", T.LongType())]))
+    kept = marked.join(gone.distinct(), (F.col(doc_id).cast("long") == F.col("_id")) & (F.col("_c_") == F.col("_c")), "left_anti")
+    twice = found.filter("class_id is not null").groupBy("doc_id", "class_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_c"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_c_") == F.col("_c"))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([doc_id, "_c_"])).drop("_c_")
