@@ -35,9 +35,9 @@ from .words import Words, mix, shingle_sets
 #: N-grams that two prefixes must share.
 LEAST = 3
 #: An n-gram in more classes than this makes no pairs: in the first order, where only n-grams that the sample missed are so frequent, and in that by frequency.
-HOT, HOT_AGAIN = 48, 48
+HOT, HOT_AGAIN = 192, 48
 #: One document in so many shows which n-grams are frequent: those of FREQUENT of them or more, MAX_FREQUENT (8 bytes each) at most.
-SAMPLED, FREQUENT, MAX_FREQUENT = 16, 4, 2_000_000
+SAMPLED, FREQUENT, MAX_FREQUENT = 16, 3, 2_000_000
 #: Documents and n-grams that one side of a tile holds, on average at most.
 TILE_DOCS, TILE_GRAMS = 192, 400_000
 #: Ids up to this many are broadcast, 16 bytes each; more are joined by a shuffle.
