@@ -105,6 +105,7 @@ def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
     whole = F.when(m["size"] > 0, F.expr("mix.taken div mix.size")).otherwise(F.lit(0)).cast("int")
     rest = (m["taken"] - whole * m["size"]).cast("int")
     copies = F.flatten(F.array(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    head = F.regexp_extract(F.col(text), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_take").cast("string"), F.lit("}")), F.lit(0))
+    # Words with the space before them, so that the head is a true prefix of the text.
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_take")), "")
     out = mixed.withColumn("_take", F.explode(copies))
     return out.withColumn(text, F.when(F.col("_take") < 0, F.col(text)).otherwise(head)).drop("_take", "mix")

@@ -114,9 +114,10 @@ SCHEMA = "pack_id long, doc_ids array<long>, starts array<int>, cu_seqlens array
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD_TOKENS) -> DataFrame:
     """Packed rows: pack_id; doc_ids, starts (token of the document) of its segments; cu_seqlens (0, then where each segment ends); n_tokens;
-    input_ids and position_ids: `length` little-endian int32 each, positions starting anew in each segment, the rest filled with the closing token and 0."""
+    input_ids and position_ids: `length` little-endian numbers each (2 bytes where ids and length allow it, else 4), positions starting anew in each segment, the rest filled with the closing token and 0."""
     with open(vocabulary, "rb") as f:
         tokenizer = Tokenizer(f.read())
+    kind = "<u2" if max(tokenizer.close, length) < 1 << 16 else "<u4"
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def packed(ids: list[int | None], toks: list[np.ndarray], first: int) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary
         for at in range(0, len(rows), 512):
             out: list[list] = [[] for _ in range(7)]
             for k, row in enumerate(rows[at : at + 512], at):
-                x, pos, cu = np.full(length, shared.value.close, np.int32), np.zeros(length, np.int32), [0]
+                x, pos, cu = np.full(length, shared.value.close, kind), np.zeros(length, kind), [0]
                 for p in row:
                     i, s, n = piece[p]
                     x[cu[-1] : cu[-1] + n] = toks[i][s : s + n]

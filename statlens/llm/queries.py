@@ -118,7 +118,13 @@ def op10_pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op2_decontaminate": op2_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_pack_rows": op10_pack_rows}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op2_decontaminate": op2_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_pack_rows": op10_pack_rows, "pipeline": pipeline}
 SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
 
 
