@@ -184,7 +184,7 @@ def main_text(page: str | None) -> str:
         at = at.parent
         if at.boost >= 3.0:
             best = at
-    least, kept = max(10.0, 0.2 * score(best)), {id(best)}
+    least, kept = max(5.0, 0.2 * score(best)), {id(best)}
     for x in seen.values():
         if x is not best and x.parent is best.parent and score(x) >= least and best.boost < 3.0:
             kept.add(id(x))

@@ -29,6 +29,8 @@ D = 2 * BASE + 1
 STEPS = 8
 RIDGE = 1e-4
 BINS = 200
+#: Positive mass that a score has to have above it to count for the prior; less is at the mercy of chance.
+LEAST_MASS = 0.8
 
 _KIND = np.full(256, 5, np.uint8)  # other ASCII signs
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 0, 1, 2, 3
@@ -176,7 +178,7 @@ def fit(rows: DataFrame) -> Model | None:
 
     got = _sums(rows, histogram)
     unl, pos = np.cumsum(got[:BINS][::-1]) / n, np.cumsum(got[BINS:][::-1]) / n_pos
-    prior = float(np.clip((unl / np.maximum(pos, 1e-9))[pos >= 0.3].min(), 0.01, 0.99))
+    prior = float(np.clip((unl / np.maximum(pos, 1e-9))[pos >= LEAST_MASS].min(), 0.01, 0.99))
     return Model(*scale, _newton(rows, scale, mean_pos, n, n_pos, prior, w), prior)
 
 
