@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one pass of array work takes at a time; a longer text makes a pass of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +97,38 @@ def runs(it: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[tuple[object, p
             held.append(b.slice(i, j - i))
     if held:
         yield of, pa.Table.from_batches(held)
+
+
+def number_runs(it: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[bool, list]]:
+    """Columns of numbers from batches sorted by the first one, in pieces that hold whole runs of equal keys: (False, columns).
+
+    A run of over `limit` rows comes in parts as it is read, each led by the run's first row: (True, columns). So no more than `limit` rows and one batch are held.
+    """
+    import numpy as np
+
+    held: list | None = None
+    long_key = None
+    for b in it:
+        if not b.num_rows:
+            continue
+        new = [b.column(k).to_numpy() for k in range(b.num_columns)]
+        cols = new if held is None else [np.concatenate((h, x)) for h, x in zip(held, new)]
+        edge = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+        last = int(edge[-1]) if len(edge) else 0
+        if long_key is not None:  # the first row held is the long run's
+            stop = int(edge[0]) if len(edge) else len(cols[0])
+            if stop > 1:
+                yield True, [x[:stop] for x in cols]
+            if not len(edge):
+                held = [x[:1] for x in cols]
+                continue
+            long_key = None
+            cols, last = [x[stop:] for x in cols], last - stop
+        if last:
+            yield False, [x[:last] for x in cols]
+        held = [x[last:] for x in cols]
+        if len(held[0]) > limit:
+            yield True, held
+            long_key, held = held[0][0], [x[:1] for x in held]
+    if held is not None and len(held[0]) and long_key is None:
+        yield False, held

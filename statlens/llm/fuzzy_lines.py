@@ -6,7 +6,7 @@ agree on at least m - BITS of m blocks, so each class is keyed by all choices of
 m grows with the number of classes, which keeps the keys' buckets small. Of candidates, those with fingerprints within BITS bits and edit similarity
 (1 - distance / longer length, in bytes) of `percent` or more link. One occurrence of each connected group of lines is kept: the first by doc_id and place.
 
-A key with more than HOT classes ties them to one of them and makes no pairs; groups are then compared in tiles (see tiles.py), so no link is lost.
+A key with more than HOT classes ties them all to one of them instead of comparing them; groups are then compared in tiles (see tiles.py), so no link is lost.
 Only fingerprints are shuffled until then; lines themselves are read again for candidates.
 
 Defined cases: a null text has no lines, an empty one has one empty line; lines that normalise to nothing are always kept; repeated rows with one id
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import batches, cut, text_bytes
+from .common import batches, cut, number_runs, text_bytes
 from .components import components
 from .words import mix, powers
 
 BITS = 3
 PERCENT = 80
-#: Classes that share a key and still make pairs.
-HOT = 32
+#: Classes that share a key and still are compared with one another.
+HOT = 8192
 TILE_LINES, TILE_BYTES = 256, 1_000_000
 BROADCAST_IDS = 1_000_000
 
@@ -90,12 +90,23 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(_FOLD[np.frombuffer(line, np.uint8)].tobytes().split())
 
 
+def _same(a: bytes, b: bytes) -> int:
+    """How many leading bytes agree, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 def edit_distance(a: bytes, b: bytes, most: int) -> int:
     """The edit distance, by bit-parallel steps on numbers as long as a (Myers, 1999); over `most`, some number over it."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    while a and b and a[0] == b[0] and a[: (k := min(64, len(a), len(b)))] == b[:k]:
-        a, b = a[k:], b[k:]
+    k = _same(a, b)
+    a, b = a[k:], b[k:]
+    k = _same(a[::-1], b[::-1])
+    a, b = a[: len(a) - k], b[: len(b) - k]
     if not a or not b:
         return max(len(a), len(b))
     where: dict[int, int] = {}
@@ -129,9 +140,9 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def blocks_for(classes: int, bits: int = BITS) -> int:
-    """The number of blocks by which keys are some bits longer than it takes to tell the classes apart."""
+    """The least number of blocks by which a key has some dozens of classes on average."""
     m = bits + 1
-    while 64 * (m - bits) // m < min(40, max(1, classes).bit_length() + 3):
+    while 64 * (m - bits) // m < min(40, max(1, classes).bit_length() - 6):
         m += 1
     return m
 
@@ -147,16 +158,40 @@ def _keys(fingerprint: Column, m: int, bits: int) -> Column:
 
 
 def candidates(classes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """a, b: edges such that all links lie within the components that they form. classes: c, print, size."""
-    rows = classes.select("c", "print", "size", F.explode(_keys(F.col("print"), blocks_for(classes.count(), bits), bits)).alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count("*").alias("k"), F.min("c").alias("least")).filter("k > 1"), "line-keys")
-    rows = cut(rows.join(shared, "key").select("key", "c", "print", "size", "k", "least"), "line-buckets")
-    few = rows.filter(F.col("k") <= HOT)
-    other = few.select("key", F.col("c").alias("b"), F.col("print").alias("print_b"), F.col("size").alias("size_b"))
-    near = (F.bit_count(F.col("print").bitwiseXOR(F.col("print_b"))) <= bits) & (F.col("size") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size") * percent)
-    pairs = few.join(other, "key").filter((F.col("c") < F.col("b")) & near).select(F.col("c").alias("a"), "b")
-    stars = rows.filter((F.col("k") > HOT) & (F.col("c") != F.col("least"))).select("c", "least")
-    return pairs.union(stars).distinct()
+    """a, b: edges such that all links lie within the components that they form. classes: c, print, size.
+
+    One shuffle deals fingerprints out by key; each key's are compared bit by bit, and a spanning forest of what is near enough is kept.
+    """
+    rows = classes.select("c", "print", "size", F.explode(_keys(F.col("print"), blocks_for(classes.count(), bits), bits)).alias("key")).select("key", "c", "print", F.col("size").cast("int").alias("size"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for long, (key, c, fingerprint, size) in number_runs(it, HOT):
+            if long:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c) - 1, c[0])), pa.array(c[1:])], names=["a", "b"])
+                continue
+            edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            many = np.flatnonzero(np.diff(edge) > 1)
+            prints, out = fingerprint.view(np.uint64), []
+            for i, j in zip(edge[many].tolist(), edge[many + 1].tolist()):
+                forest = tiles.Forest(j - i)
+                for k in range(i, j, 1024):  # rows of the comparison at a time
+                    x, n = prints[k : min(j, k + 1024), None], size[k : min(j, k + 1024), None].astype(np.int64)
+                    near = (np.bitwise_count(x ^ prints[None, i:j]) <= bits) & (100 * np.minimum(n, size[None, i:j]) >= percent * np.maximum(n, size[None, i:j]))
+                    u, v = np.nonzero(near)
+                    u = u + (k - i)
+                    u, v = u[u < v], v[u < v]
+                    for row in np.unique(u).tolist() if len(u) > 8 * (j - i) else ():  # crowded: a neighbour of each other tree is enough
+                        to = v[u == row]
+                        for t in to[forest.root[to] != forest.root[row]].tolist():
+                            forest.link(row, t)
+                    for a, b in zip(u.tolist(), v.tolist()) if len(u) <= 8 * (j - i) else ():
+                        forest.link(a, b)
+                out += [(i + a, i + b) for a, b in forest.edges]
+            if out:
+                a, b = (np.array(z) for z in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "c").mapInArrow(run, "a long, b long").distinct()
 
 
 def lines_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -213,6 +248,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int
 
 def apply(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with only the kept lines in their texts; a text that loses all of them becomes empty. decided: dedup()."""
-    gone = decided.filter("not kept").select(F.col("doc_id").alias("_id"), "place").groupBy("_id").agg(F.collect_set("place").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_id", "_gone")
+    gone = decided.filter("not kept").select(F.col("doc_id").alias("__statlens_id"), "place").groupBy("__statlens_id").agg(F.collect_set("place").alias("__statlens_gone"))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__statlens_gone", i)), "\n")
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__statlens_id")), "left").withColumn(text, F.when(F.col("__statlens_gone").isNull(), F.col(text)).otherwise(kept)).drop("__statlens_id", "__statlens_gone")

@@ -87,16 +87,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """docs with a struct `mix` of size, source_size, target, taken and epochs of its source."""
     sized = cut(docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), random_key(F.col(doc_id), seed).alias("key")), "mix")
     plan = cut(cuts(sized, targets(sized, max_epochs, weights)), "mix-plan")
-    named = plan.select(F.struct(*plan.columns).alias("_p"))
+    named = plan.select(F.struct(*plan.columns).alias("__statlens_p"))
     if plan.count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
-    out = docs.withColumn("_size", n_words(F.col(text))).withColumn("_key", random_key(F.col(doc_id), seed))
-    out = out.join(named, F.col(source).cast("string").eqNullSafe(F.col("_p.source")), "left")
-    here, cut_at = F.struct("_key", "_size"), F.struct(F.col("_p.cut_key").alias("_key"), F.col("_p.cut_size").alias("_size"))
-    partial = F.when(F.col("_p.cut_key").isNull(), F.lit(0)).when(here < cut_at, F.col("_size")).when(here == cut_at, F.col("_p.cut_take")).otherwise(F.lit(0))
-    taken = F.col("_p.epochs") * F.col("_size") + partial
-    mixed = F.struct(F.col("_size").alias("size"), F.col("_p.source_size").alias("source_size"), F.col("_p.target").alias("target"), taken.cast("long").alias("taken"))
-    return out.withColumn("mix", mixed).drop("_size", "_key", "_p")
+    out = docs.withColumn("__statlens_size", n_words(F.col(text))).withColumn("__statlens_key", random_key(F.col(doc_id), seed))
+    out = out.join(named, F.col(source).cast("string").eqNullSafe(F.col("__statlens_p.source")), "left")
+    here, cut_at = F.struct("__statlens_key", "__statlens_size"), F.struct(F.col("__statlens_p.cut_key").alias("__statlens_key"), F.col("__statlens_p.cut_size").alias("__statlens_size"))
+    partial = F.when(F.col("__statlens_p.cut_key").isNull(), F.lit(0)).when(here < cut_at, F.col("__statlens_size")).when(here == cut_at, F.col("__statlens_p.cut_take")).otherwise(F.lit(0))
+    taken = F.col("__statlens_p.epochs") * F.col("__statlens_size") + partial
+    mixed = F.struct(F.col("__statlens_size").alias("size"), F.col("__statlens_p.source_size").alias("source_size"), F.col("__statlens_p.target").alias("target"), taken.cast("long").alias("taken"))
+    return out.withColumn("mix", mixed).drop("__statlens_size", "__statlens_key", "__statlens_p")
 
 
 def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
@@ -106,6 +106,6 @@ def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
     rest = (m["taken"] - whole * m["size"]).cast("int")
     copies = F.flatten(F.array(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
     # Words with the space before them, so that the head is a true prefix of the text.
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_take")), "")
-    out = mixed.withColumn("_take", F.explode(copies))
-    return out.withColumn(text, F.when(F.col("_take") < 0, F.col(text)).otherwise(head)).drop("_take", "mix")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__statlens_take")), "")
+    out = mixed.withColumn("__statlens_take", F.explode(copies))
+    return out.withColumn(text, F.when(F.col("__statlens_take") < 0, F.col(text)).otherwise(head)).drop("__statlens_take", "mix")

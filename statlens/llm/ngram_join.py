@@ -103,7 +103,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str)
 
     ids = wanted.select("c", F.col("first_id").alias("_id"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).join(ids, "_id").select("_t", "c")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).join(ids.withColumnRenamed("_id", "_want"), F.col("_id").eqNullSafe(F.col("_want"))).select("_t", "c")
     return rows.mapInArrow(run, "c long, grams array<long>").dropDuplicates(["c"])
 
 
@@ -247,10 +247,10 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "d
     """docs without all but one document of each component: the one with the least id stays, and one row of that, whole. Documents without n-grams stay."""
     found = cut(join(docs, n, percent, doc_id, text), "decided")
     rows, ids, pairs = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("doc_id", F.coalesce("class_id", F.lit(0)))).first()
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_c"))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__statlens_id"), F.col("class_id").alias("__statlens_class"))
     if rows == ids:
-        gone = F.broadcast(gone.select("_id")) if gone.count() <= BROADCAST_IDS else gone.select("_id")
-        return docs.join(gone, docs[doc_id].cast("long") == F.col("_id"), "left_anti")
+        gone = F.broadcast(gone.select("__statlens_id")) if gone.count() <= BROADCAST_IDS else gone.select("__statlens_id")
+        return docs.join(gone, docs[doc_id].cast("long") == F.col("__statlens_id"), "left_anti")
     # Ids that repeat or are null: rows are told apart by their sets too, and copies under one id are made one.
     place = docs.columns.index(text)
 
@@ -258,10 +258,10 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "d
         for b in batches(it, place):
             value, at = shingle_sets(Words(text_bytes(b.column(place))[0]), n)
             c = pa.array(_set_digest(value, at), mask=np.diff(at) == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, c], names=[*b.schema.names, "_c_"])
+            yield pa.RecordBatch.from_arrays([*b.columns, c], names=[*b.schema.names, "__statlens_set"])
 
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_c_", T.LongType())]))
-    kept = marked.join(gone.distinct(), (F.col(doc_id).cast("long") == F.col("_id")) & (F.col("_c_") == F.col("_c")), "left_anti")
-    twice = found.filter("class_id is not null").groupBy("doc_id", "class_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_c"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_c_") == F.col("_c"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([doc_id, "_c_"])).drop("_c_")
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__statlens_set", T.LongType())]))
+    kept = marked.join(gone.distinct(), (F.col(doc_id).cast("long") == F.col("__statlens_id")) & (F.col("__statlens_set") == F.col("__statlens_class")), "left_anti")
+    twice = found.filter("class_id is not null").groupBy("doc_id", "class_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("__statlens_id"), F.col("class_id").alias("__statlens_class"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__statlens_id")) & (F.col("__statlens_set") == F.col("__statlens_class"))
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([doc_id, "__statlens_set"])).drop("__statlens_set")

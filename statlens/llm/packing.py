@@ -29,7 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that this family of vocabularies splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH = 2048
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 
 
 class Tokenizer:

@@ -40,7 +40,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(22, int(n).bit_length()))
+    up, down = _powers(1 << max(20, int(n).bit_length()))
     return up[:n], down[:n]
 
 

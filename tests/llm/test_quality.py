@@ -15,13 +15,13 @@ def test_features_are_of_the_text_alone():
 def test_recovers_a_planted_class(spark):
     """Two kinds of texts, labels for a part of one of them."""
     rng = np.random.default_rng(3)
-    rows = [(k, " ".join("word" + "abcdefghij"[rng.integers(10)] * rng.integers(1, 5) + (", " if rng.random() < 0.1 else " ") for _ in range(40)) if k % 4 else "BUY NOW!!! $$$ " * rng.integers(3, 9), "", None, 0) for k in range(400)]
+    rows = [(k, " ".join("word" + "abcdefghij"[rng.integers(10)] * rng.integers(1, 5) + (", " if rng.random() < 0.1 else " ") for _ in range(40)) if k % 4 else "BUY NOW!!! $$$ " * rng.integers(3, 9), "", None, 0) for k in range(3000)]
     x = quality.features(clashing(spark.createDataFrame(rows, DOCS)).drop("x"))
     good = x.withColumn("positive", (x.doc_id % 4 != 0) & (x.doc_id % 3 == 0))
     model = quality.fit(good)
     assert 0.6 < model.prior < 0.9
     got = {r["doc_id"]: r["score"] for r in quality.score(good, model).collect()}
-    assert len(got) == 400 and sum((got[k] >= 0.3) == bool(k % 4) for k in got) >= 380
+    assert len(got) == 3000 and sum((got[k] >= 0.3) == bool(k % 4) for k in got) >= 2940
 
 
 def test_no_positives_and_empty(spark):
