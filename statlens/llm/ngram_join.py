@@ -226,7 +226,7 @@ def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent:
     return tiles.links(members.select("c", "g", "n"), sets, kernel, percent / 100, TILE_DOCS, TILE_GRAMS)
 
 
-def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id that links reach) and class_id (digest of the set, null without n-grams) of every row.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of n-word shingles.
@@ -243,7 +243,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id",
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id")))
 
 
-def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without all but one document of each component: the one with the least id stays, and one row of that, whole. Documents without n-grams stay."""
     found = cut(join(docs, n, percent, doc_id, text), "decided")
     rows, ids, pairs = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("doc_id", F.coalesce("class_id", F.lit(0)))).first()

@@ -20,7 +20,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join
 
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,16 +39,16 @@ def brute(rows, n, percent):
     return sorted(((i if i is not None else -1), len(s[k]), least.get(find(k), -1)) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("hot", "docs", "sampled"), [(192, 192, 16), (2, 3, 1), (3, 2, 10**6)])
-def test_against_brute_force(spark, monkeypatch, hot, docs, sampled):
+@pytest.mark.parametrize(("n", "percent", "hot", "docs", "sampled"), [(4, 85, 192, 192, 16), (4, 85, 2, 3, 1), (4, 85, 3, 2, 10**6), (5, 80, 192, 192, 16), (5, 80, 2, 3, 1)])
+def test_against_brute_force(spark, monkeypatch, n, percent, hot, docs, sampled):
     """With limits so low that each way of treating frequent n-grams and large groups is taken."""
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "HOT_AGAIN", hot)
     monkeypatch.setattr(ngram_join, "TILE_DOCS", docs)
     monkeypatch.setattr(ngram_join, "SAMPLED", sampled)
     df = clashing(documents(spark))
-    got = sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1) for r in ngram_join.join(df).select("doc_id", "n_shingles", "component_id").collect())
-    assert got == brute([(r["doc_id"], r["text"]) for r in df.collect()], 4, 85)
+    got = sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1) for r in ngram_join.join(df, n, percent).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute([(r["doc_id"], r["text"]) for r in df.collect()], n, percent)
     assert len({g[2] for g in got}) < len(got) - 10
 
 
@@ -60,12 +60,12 @@ def test_ids_by_shuffle(spark, monkeypatch):
 
 def test_one_of_each(spark):
     df = documents(spark)
-    want = brute([(r["doc_id"], r["text"]) for r in df.collect()], 4, 85)
+    want = brute([(r["doc_id"], r["text"]) for r in df.collect()], 5, 80)
     kept = ngram_join.one_of_each(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == sorted({i for i, n, c in want if i == c or n == 0})
     plain = documents(spark, repeated=False)
-    assert ngram_join.one_of_each(plain).count() == len({c for i, n, c in brute([(r["doc_id"], r["text"]) for r in plain.collect()], 4, 85) if i == c})
+    assert ngram_join.one_of_each(plain).count() == len({c for i, n, c in brute([(r["doc_id"], r["text"]) for r in plain.collect()], 5, 80) if i == c})
 
 
 def test_empty(spark):
