@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The words of items and texts are compared without case and ASCII punctuation. An item's seeds are the rarer half of its n-grams by the
-number of corpus documents that hold them (its rarest ones always, however often the item itself was copied). A text's seed hits
-give windows around the item's diagonal, and the item is aligned locally with each window: a word that agrees scores MATCH, one that differs MISMATCH,
-one left out or put in GAP. An item whose best alignment reaches `threshold` of its perfect score is in the text.
+The words of items and texts are compared without case and ASCII punctuation. All n-grams of an item are seeds, common ones too: an edited
+copy may have kept no others. A text's seed hits give windows around the item's diagonal, and the item is aligned locally with each window: a word
+that agrees scores MATCH, one that differs MISMATCH, one left out or put in GAP. An item whose best alignment reaches `threshold` of its perfect
+score is in the text. Where too few of the item's words occur for that score, in the text or in the window, nothing is aligned; so common seeds cost little.
 
 Items are the query set and go to the executors, in blocks of BLOCK_WORDS words; documents are
-scanned where they lie, twice a block (to count seeds, then to align), and nothing of them is shuffled.
+scanned where they lie, once a block, and nothing of them is shuffled.
 
 Defined cases: null and blank texts hold nothing; items that are null or have fewer than SEED words have no seeds and are found nowhere; equal items are
 found together; repeated rows give repeated results; very long texts are scanned whole.
@@ -26,8 +26,6 @@ from .words import Words, ngrams
 
 #: Words of a seed.
 SEED = 3
-#: Seeds that an item keeps at least.
-LEAST_SEEDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words of benchmark items in one block: 30 MB or so as arrays.
@@ -60,23 +58,18 @@ class Items:
         self.gram = np.concatenate([g for g, _ in seeds] or [np.zeros(0, np.uint64)])
         self.item = np.concatenate([np.full(len(g), k) for g, k in seeds] or [np.zeros(0, np.int64)])
         self.place = np.concatenate([np.arange(len(g)) for g, _ in seeds] or [np.zeros(0, np.int64)])
-        self._sort()
-
-    def _sort(self) -> None:
         order = np.lexsort((self.place, self.item, self.gram))
         self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
         self.key = np.unique(self.gram)
-
-    def keep_rare(self, df: dict[int, int]) -> None:
-        """Leaves each item the rarer half of its seeds, LEAST_SEEDS at least."""
-        n = np.array([df.get(int(g.view(np.int64)), 0) for g in self.gram])
-        keep = np.zeros(len(n), bool)
-        for k in np.unique(self.item).tolist():
-            own = np.flatnonzero(self.item == k)
-            own = own[np.lexsort((self.place[own], n[own]))]
-            keep[own[: max(LEAST_SEEDS, -(-len(own) // 2))]] = True
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self._sort()
+        self.known, number = np.unique(np.concatenate(self.words or [np.zeros(0, np.uint64)]), return_inverse=True)
+        self.numbers = np.split(number, np.cumsum([len(x) for x in self.words])[:-1]) if self.words else []
+
+    def present(self, hashes: np.ndarray) -> np.ndarray:
+        """For each of the items' distinct words whether it is among hashes."""
+        out = np.zeros(len(self.known), bool)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        out[at[self.known[at] == hashes]] = True
+        return out
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word places in w where a seed stands, and the seed's number among the keys."""
@@ -100,10 +93,16 @@ class Items:
         out: list[tuple[int, int, float, int, int]] = []
         doc, item, start = doc[order], item[order], start[order]
         edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))) if len(doc) else []
+        last, there = -1, np.zeros(0, bool)
         for i, j in zip(edge, [*edge[1:], len(doc)]):
             d, k = int(doc[i]), int(item[i])
             words = self.words[k]
             m, best = len(words), (0, 0, 0)
+            if d != last:
+                last, there = d, self.present(w.hash[w.first[d] : w.first[d + 1]])
+            # A word agrees only where the text has it: with fewer of them than this no alignment reaches the threshold.
+            if np.count_nonzero(there[self.numbers[k]]) < threshold * m:
+                continue
             slack = m // 2 + 2
             begin, end = np.maximum(start[i:j] - slack, w.first[d]), np.minimum(start[i:j] + m + slack, w.first[d + 1])
             a, b = int(begin[0]), int(end[0])
@@ -111,19 +110,20 @@ class Items:
                 if x <= b:
                     b = max(b, y)
                     continue
-                score, to = align(words, w.hash[a:b])
-                if score > best[0]:
-                    best = (score, a, a + to)
+                if np.count_nonzero(np.isin(words, w.hash[a:b])) >= threshold * m:
+                    score, to = align(words, w.hash[a:b])
+                    if score > best[0]:
+                        best = (score, a, a + to)
                 a, b = x, y
             score, a, to = best
-            if score >= threshold * MATCH * m:
+            if score and score >= threshold * MATCH * m:
                 back, n_back = align(words[::-1], w.hash[a:to][::-1])
                 out.append((d, k, score / (MATCH * m), int(to - n_back - w.first[d]), int(to - w.first[d])))
         return out
 
 
 def _blocks(bench: DataFrame, item_id: str, text: str) -> list[Items]:
-    """The benchmark in blocks, with corpus counts still to come. Read once, in pieces of bounded size."""
+    """The benchmark in blocks of bounded size, read once. All of them are held here."""
     held, out, words = [], [], 0
     for r in bench.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), text).orderBy(item_id, text).toLocalIterator():
         held.append((r[0], r[1].encode("utf-8", "surrogatepass")))
@@ -135,23 +135,8 @@ def _blocks(bench: DataFrame, item_id: str, text: str) -> list[Items]:
 
 
 def prepared(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> list[Items]:
-    """The benchmark's blocks with their rare seeds, by document counts over all of docs."""
-    blocks = _blocks(bench, item_id, item_text)
-    for items in blocks:
-
-        def run(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(items.key), np.int64)
-            for b in batches(it, 0):
-                w = Words(text_bytes(b.column(0))[0], plain=True)
-                hit, key = items.hits(w)
-                once = np.unique(w.doc[hit] * np.int64(len(items.key)) + key) if len(hit) else hit
-                n += np.bincount(once % max(1, len(items.key)), minlength=len(n))
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(items.key[at].view(np.int64)), pa.array(n[at])], names=["gram", "n"])
-
-        got = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        items.keep_rare(dict(zip(got["gram"].tolist(), got["n"].tolist())))
-    return blocks
+    """The benchmark's blocks with their seeds. Nothing is learnt from docs: a seed's count there doesn't say whether a copy holds it."""
+    return _blocks(bench, item_id, item_text)
 
 
 def matches(docs: DataFrame, blocks: list[Items], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -79,3 +79,28 @@ def test_empty(spark, which):
     df = spark.createDataFrame([] if which == "docs" else [(1, docs[0], None, None, 0)], DOCS)
     blocks = dc.prepared(df, spark.createDataFrame([] if which == "items" else [(1, items[0])], ITEMS))
     assert dc.matches(df, blocks).count() == 0 and dc.clean(df, blocks).count() == df.count()
+
+
+@pytest.mark.parametrize(("size", "replaced"), [(20, 4), (20, 5), (30, 6), (30, 7), (60, 12), (60, 15)])
+def test_replaced_words_against_full_alignment(spark, size, replaced):
+    """Copies with a fifth or a quarter of their words replaced; of some items exact copies too, of others common passages in other documents."""
+    rng = random.Random(size + replaced)
+    items = [words(rng, size, 5000) for _ in range(20)]
+    texts = []
+    for k, item in enumerate(items):
+        copy = list(item)
+        for at in rng.sample(range(size), replaced):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        texts.append(words(rng, 40, 5000) + copy + words(rng, 40, 5000))
+        if k % 3 == 1:
+            texts.append(words(rng, 20, 5000) + item)
+        if k % 3 == 2:
+            texts += [words(rng, 9, 5000) + copy[at : at + size // 3] for at in range(0, size, size // 3) for _ in range(3)]
+    numbers = {x: n for n, x in enumerate({x for t in [*items, *texts] for x in t})}
+    a, b = ([np.array([numbers[x] for x in t]) for t in z] for z in (items, texts))
+    want = {(d, k) for d, t in enumerate(b) for k, x in enumerate(a) if len(np.intersect1d(t, x)) * 2 >= size and dc.align(x, t)[0] >= dc.THRESHOLD * dc.MATCH * size}
+    assert len(want) >= len(items)
+    df = spark.createDataFrame([(d, " ".join(t), None, None, 0) for d, t in enumerate(texts)], DOCS)
+    blocks = dc.prepared(df, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], ITEMS))
+    assert {(r["doc_id"], r["item_id"]) for r in dc.matches(df, blocks).collect()} == want
+    assert {r["doc_id"] for r in dc.clean(df, blocks).collect()} == set(range(len(texts))) - {d for d, _ in want}
