@@ -30,7 +30,6 @@ SMOOTHING = 0.5
 PENALTY = 2.0
 ROUNDS = 10
 RANKING_ROUNDS = 3
-MAX_SET = 4
 
 
 @functools.lru_cache(maxsize=1)
@@ -127,7 +126,7 @@ class Model:
             part = np.ascontiguousarray(part.T)
             full = _em(part, at, of, np.full((k, len(some)), 1.0 / k), RANKING_ROUNDS)
             order = np.argsort(-full, axis=0, kind="stable")
-            for size in range(2, min(k, MAX_SET) + 1):
+            for size in range(2, k + 1):
                 # The next language has to hold a word's worth, and the set without it has to have been worth it.
                 pays = np.take_along_axis(full, order[size - 1 : size], axis=0)[0] * words[has[some]] >= 1
                 pays &= (size == 2) | ((chosen[some] > 0).sum(axis=1) == size - 1)

@@ -43,6 +43,20 @@ def test_nothing_to_learn_from(spark):
     assert language.identify(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_as_many_languages_as_the_text_mixes(spark):
+    """Seven languages, each with letters of its own; texts that mix two to seven of them evenly."""
+    rng = np.random.default_rng(4)
+    word = lambda k: "".join(chr(0x4E00 + 5 * k + x) for x in rng.integers(0, 5, 6))
+    names = [f"l{k}" for k in range(7)]
+    train = spark.createDataFrame([(20 * k + j, " ".join(word(k) for _ in range(50)), names[k], None, 0) for k in range(7) for j in range(5)], DOCS)
+    model = language.Model.fit(language.count(train, F.lit(True)))
+    texts = [" ".join(word(k) for _ in range(30) for k in range(n)) for n in range(2, 8)]
+    got = language.identify(spark.createDataFrame([(n, t, None, None, 0) for n, t in enumerate(texts, 2)], DOCS), model)
+    for r in got.collect():
+        shares = {x["lang"]: x["share"] for x in r["language"]["languages"]}
+        assert shares == pytest.approx(dict.fromkeys(names[: r["doc_id"]], 1 / r["doc_id"]), abs=0.02)
+
+
 def test_held_out_accuracy(spark, small):
     got = queries.op5_language_mixture(spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
