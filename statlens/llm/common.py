@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one pass of array work takes at a time; a longer text makes a pass of its own.
 BATCH_BYTES = 512 << 10
+#: Rows of up to some 50 bytes that a task may get by broadcast; more are joined by a shuffle, but for the heaviest keys.
+BROADCAST_IDS = 1_000_000
+HOT_KEYS, HOT_ROWS = 10_000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         got = spark.sparkContext.getCheckpointDir()
+        if not got and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that driver and executors share")
         where = got or os.path.join(tempfile.gettempdir(), "statlens-checkpoints")
         if not got:
             spark.sparkContext.setCheckpointDir(where)
@@ -33,21 +38,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
+def cut(df: DataFrame, name: str = "cut", done: Iterable[DataFrame] = ()) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors. `done`: tables of cut() that nothing reads afterwards."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/statlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for x in done:
+        discard(spark, x)
+    return out
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Removes a table that cut() wrote, once nothing reads it any more."""
+    """Removes the tables of cut() that df reads, once nothing reads them any more."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles() if "/statlens/" in x}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows left-joined to found on `key`. found: a table of cut() with one row a key; its column `weight` tells how many rows have the key, and is dropped.
+
+    Up to BROADCAST_IDS keys are broadcast. Beyond that only the HOT_KEYS heaviest of those with HOT_ROWS or more are, so that their rows stay where they are, and the others meet by a shuffle.
+    """
+    if found.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(found.drop(weight)), key, "left")
+    hot = F.broadcast(found.filter(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), key).limit(HOT_KEYS).drop(weight))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(found.drop(weight), key, "left"))
+
+
 def text_bytes(column: pa.Array) -> tuple[list[bytes], list[bool]]:
     """A string column as UTF-8 bytes, and which rows are null (their bytes are empty)."""
     values = column.cast(pa.binary()).to_pylist()
@@ -69,12 +88,8 @@ def batches(it: Iterable[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -
         yield b.slice(start)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def crc_mod5(doc_id: str = "doc_id"):
-    """crc32 of the id as text, modulo 5: 0 marks held-out documents."""
+    """crc32 of the id as text, modulo 5: 0 marks held-out documents, null (no id) neither those nor what may be learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 

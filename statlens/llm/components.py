@@ -2,7 +2,8 @@
 
 Large-star and small-star steps by turns (Kiveris et al., 2014): every node's larger neighbours are tied to
 the least node around it, then its smaller ones, until each component is a star about its least node. Edges stay tables; each round
-is written to the shared folder, so a lost executor costs a task and not the run.
+is written to the shared folder, so a lost executor costs a task and not the run. Edges of a node that has very many are
+not dealt out by that node: what such hubs have to know of themselves is aggregated and broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +13,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard
 
+#: Nodes with so many edges, and with more than that share of all edges, are hubs: MAX_HUBS of them at most, by the share.
+HUB_EDGES, MAX_HUBS = 200_000, 1_000
+
+
+def _at(rows: DataFrame, node: str, value: str, least: str, edges: int, wanted: str = "true") -> DataFrame:
+    """The wanted rows, with the column `least`: the least `value` among all rows with the same node. `edges`: how many rows there may be."""
+    found, rows = rows.groupBy(node).agg(F.min(value).alias(least), F.count("*").alias("__n")), rows.filter(wanted)
+    if edges <= HUB_EDGES:
+        return rows.join(found.drop("__n"), node)
+    hubs = F.broadcast(found.filter(F.col("__n") > max(HUB_EDGES, edges // MAX_HUBS)).drop("__n"))
+    return rows.join(hubs, node).unionByName(rows.join(hubs.select(node), node, "left_anti").join(found.drop("__n"), node))
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for every node with an edge to another, the least node of its component. Loops and repeats in edges are ignored."""
@@ -25,10 +38,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select("lo", "lo").distinct())
         before = tuple(now)
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        large = _at(both, "u", "v", "m", 2 * now[0], "v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        least = _at(large, "hi", "lo", "m", now[0])
+        small = least.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = cut(small.union(least.select("hi", "m")).distinct(), "edges")
         discard(spark, e)
         e = new

@@ -1,20 +1,24 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (A-Z lower-cased, everything that is neither an ASCII letter nor beyond ASCII taken as space, spaces made one). Equal
-normalised lines are one class. Classes are compared by 64-bit SimHash over their words: fingerprints that differ in BITS bits or fewer
-agree on at least m - BITS of m blocks, so each class is keyed by all choices of m - BITS blocks, and classes with a common key whose lengths fit are candidates;
-m grows with the number of classes, which keeps the keys' buckets small. Of candidates, those with fingerprints within BITS bits and edit similarity
-(1 - distance / longer length, in bytes) of `percent` or more link. One occurrence of each connected group of lines is kept: the first by doc_id and place.
-
-A key with more than HOT classes ties them all to one of them instead of comparing them; groups are then compared in tiles (see tiles.py), so no link is lost.
-Only fingerprints are shuffled until then; lines themselves are read again for candidates.
-
-Defined cases: a null text has no lines, an empty one has one empty line; lines that normalise to nothing are always kept; repeated rows with one id
-and text keep the same lines; rows with a null doc_id come first. Very long lines are compared whole. Lines end at \\n.
+Lines are normalised (A-Z lower-cased, what is neither an ASCII letter or digit nor beyond ASCII taken as space, spaces made one). Equal
+normalised lines are one class. A class's fingerprint is a SimHash in BLOCKS blocks: each word votes in one block only, which its hash names, so
+one word that is edited, put in or left out leaves all but two blocks as they were. Classes that agree on AGREE blocks (with a word
+in each) and whose lengths fit are candidates; by pigeonholes, these are all that share the key of one choice of AGREE blocks. Of them, edit
+similarity alone (1 - distance / longer length, in bytes) decides: `percent` or more links. One occurrence of each connected
+group of lines is kept: the first by doc_id, hash of the text, and place.
+
+Classes with a common key are tied to one another in order of their lengths, where these fit; a key that very many classes share ties them to
+one of them, without a shuffle. Groups so made are compared in tiles (see tiles.py), so no link is lost. Only fingerprints are
+shuffled until then; lines themselves are read again for candidates, found by the hash of their text and told by their own.
+
+Defined cases: a null text has one row with a null place; an empty one has one empty line; lines that normalise to nothing are always kept; repeated rows
+and rows with one id and several texts have a row for each line of each; rows with a null doc_id come first; of lines with the same first
+id and place all are kept. Very long lines are compared whole. Lines end at \\n.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -24,28 +28,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import batches, cut, number_runs, text_bytes
+from .common import batches, cut, discard, lookup, text_bytes
 from .components import components
-from .words import mix, powers
+from .words import mix, span_sums
 
-BITS = 3
+#: Blocks of a fingerprint, bits of each, and how many have to agree.
+BLOCKS, BITS, AGREE = 5, 24, 2
 PERCENT = 80
-#: Classes that share a key and still are compared with one another.
-HOT = 8192
+#: One class in SAMPLED shows which keys very many classes share: those of OFTEN of them or more, MAX_OFTEN (16 bytes each) at most.
+SAMPLED, OFTEN, MAX_OFTEN = 64, 128, 100_000
 TILE_LINES, TILE_BYTES = 256, 1_000_000
-BROADCAST_IDS = 1_000_000
+BROADCAST_TEXTS = 1_000_000
 
 _FOLD = np.full(256, 32, np.uint8)
+_FOLD[48:58] = np.arange(48, 58)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[10] = 10
 
+PRINTS = [f"p{k}" for k in range(BLOCKS)]
+
+
+def fingerprints(word: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """The blocks of n lines' fingerprints, from the hashes of words and the numbers of their lines. A block without a word is 0, and no other is."""
+    at = line * BLOCKS + ((word >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
+    count = np.bincount(at, minlength=n * BLOCKS)
+    # Votes of up to three bits are added up in one number, each in 17 bits of it; lines too long for that take one bit at a time.
+    lanes = 3 if not len(count) or count.max() < 1 << 17 else 1
+    shift = np.arange(lanes) * 17
+    votes = (((np.arange(1 << lanes)[:, None] >> np.arange(lanes)) & 1) << shift).sum(axis=1).astype(float)
+    out = np.zeros(n * BLOCKS, np.int64)
+    for bit in range(0, BITS, lanes):
+        total = np.bincount(at, weights=votes[(word >> np.uint64(bit + 8)).astype(np.int64) & ((1 << lanes) - 1)], minlength=n * BLOCKS).astype(np.int64)
+        for k in range(lanes):
+            one = total >> 17 * k & (1 << 17) - 1 if lanes > 1 else total
+            out |= (2 * one > count).astype(np.int64) << bit + k
+    out[(out == 0) & (count > 0)] = 1
+    out[count == 0] = 0
+    return out.reshape(n, BLOCKS)
+
 
 class Lines:
-    """The lines of texts: doc (text number), place (number in the text), hash, fingerprint and size in bytes of the normalised line (0: nothing left), chars as they stood."""
+    """The lines of texts: doc (text number), place (number in the text), hash, prints (blocks of the fingerprint) and size in bytes of the normalised line (0: nothing left), chars as they stood."""
 
-    def __init__(self, texts: list[bytes], skip: list[bool]) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         buf = _FOLD[raw]
         ends = np.flatnonzero(buf == 10)
@@ -54,36 +81,18 @@ class Lines:
         self.doc = np.searchsorted(at, begins, side="right") - 1
         self.place = np.arange(len(begins)) - np.searchsorted(begins, at)[self.doc]
         self.chars = np.add.reduceat((raw & 0xC0) != 0x80, begins, dtype=np.int64) - 1
-        space = (buf == 32) | (buf == 10)
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space))))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], buf < 48))))
         start, end = edge[::2], edge[1::2]
-        up, down = powers(len(buf) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
-        word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
-        line = np.searchsorted(ends, start)
+        word = mix(span_sums(buf, start, end) + (end - start).astype(np.uint64))
         n = len(begins)
-        words = np.bincount(line, minlength=n)
-        self.size = np.bincount(line, weights=end - start, minlength=n).astype(np.int64) + np.maximum(words - 1, 0)
-        self.hash, self.print = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        first = np.searchsorted(start, begins)
+        words = np.diff(np.concatenate((first, [len(start)])))
+        size = np.concatenate(([0], np.cumsum(end - start)))
+        self.size = size[first + words] - size[first] + np.maximum(words - 1, 0)
         has = np.flatnonzero(words)
-        if len(has):
-            first = np.concatenate(([0], np.cumsum(words[has])[:-1]))
-            order = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * up[: len(word)], dtype=np.uint64)))
-            last = np.concatenate((first[1:], [len(word)]))
-            self.hash[has] = mix((order[last] - order[first]) * down[first] + words[has].astype(np.uint64))
-            for lo in range(0, len(has), 4096):  # bits of a few lines' words at a time
-                hi = min(lo + 4096, len(has))
-                a, b = first[lo], last[hi - 1]
-                for s in range(a, b, 1 << 17) if hi - lo == 1 else (a,):  # a single long line in parts
-                    e = min(b, s + (1 << 17)) if hi - lo == 1 else b
-                    bits = np.unpackbits(word[s:e].view(np.uint8).reshape(-1, 8), axis=1)
-                    part = np.add.reduceat(bits, first[lo:hi] - a if hi - lo > 1 else [0], axis=0, dtype=np.int64)
-                    sums = part if s == a else sums + part
-                self.print[has[lo:hi]] = np.packbits(2 * sums > words[has[lo:hi]][:, None], axis=1).view(np.uint64)[:, 0]
-        null = np.array(skip, bool)
-        keep = ~null[self.doc]
-        for name in ("doc", "place", "chars", "hash", "print", "size"):
-            setattr(self, name, getattr(self, name)[keep])
+        self.hash = np.zeros(n, np.uint64)
+        self.hash[has] = mix(span_sums(word, first[has], first[has] + words[has]) + words[has].astype(np.uint64))
+        self.prints = fingerprints(word, np.repeat(np.arange(n), words), n)
 
 
 def normalised(line: bytes) -> bytes:
@@ -127,127 +136,139 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     return d
 
 
-def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, place, chars, c (hash of the normalised line), print (its fingerprint) and size of every line."""
+def within(a: bytes, b: bytes, most: int) -> bool:
+    """Whether the edit distance is `most` or less. Words that differ one by one may show it at once."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(b" "), b.split(b" ")
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
+        return True
+    return edit_distance(a, b, most) <= most
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 1):
-            x = Lines(*text_bytes(b.column(1)))
-            cols = [b.column(0).cast(pa.int64()).take(pa.array(x.doc)), *(pa.array(v) for v in (x.place.astype(np.int32), x.chars, x.hash.view(np.int64), x.print.view(np.int64), x.size))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "place", "chars", "c", "print", "size"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, place int, chars long, c long, print long, size long")
+LINES = "doc_id long, t long, place int, chars long, c long, size long, " + ", ".join(f"{p} int" for p in PRINTS)
+
 
+def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, t (hash of the text), place, chars, c (hash of the normalised line), size and p0 to p4 (blocks of its fingerprint) of every line; a null text has one row, with null place and size."""
 
-def blocks_for(classes: int, bits: int = BITS) -> int:
-    """The least number of blocks by which a key has some dozens of classes on average."""
-    m = bits + 1
-    while 64 * (m - bits) // m < min(40, max(1, classes).bit_length() - 6):
-        m += 1
-    return m
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 2):
+            texts, null = text_bytes(b.column(2))
+            x = Lines(texts)
+            gone = np.array(null)[x.doc]
+            doc = pa.array(x.doc)
+            cols = [b.column(0).take(doc), b.column(1).take(doc), pa.array(x.place.astype(np.int32), mask=gone), pa.array(x.chars), pa.array(x.hash.view(np.int64)), pa.array(x.size, mask=gone), *(pa.array(p.astype(np.int32)) for p in x.prints.T)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "place", "chars", "c", "size", *PRINTS])
 
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(run, LINES)
 
-def _keys(fingerprint: Column, m: int, bits: int) -> Column:
-    """All choices of m - bits of the fingerprint's m blocks, hashed with the choice's number."""
-    at = [64 * i // m for i in range(m + 1)]
+
+def _keys() -> Column:
+    """The keys of all choices of AGREE blocks that have words."""
     out = []
-    for k, chosen in enumerate(itertools.combinations(range(m), m - bits)):
-        mask = sum(((1 << at[i + 1]) - (1 << at[i])) for i in chosen)
-        out.append(F.xxhash64(F.lit(k), fingerprint.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return F.array(*out)
+    for k, chosen in enumerate(itertools.combinations(PRINTS, AGREE)):
+        words = functools.reduce(Column.__and__, [F.col(p) != 0 for p in chosen])
+        out.append(F.when(words, F.xxhash64(F.lit(k), *chosen)))
+    return F.array_compact(F.array(*out))
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges such that all links lie within the components that they form. classes: c, size, p0 to p4."""
+    keyed = classes.select("c", F.col("size").cast("int").alias("size"), F.explode(_keys()).alias("key"))
+    few = classes.filter(F.pmod("c", F.lit(SAMPLED)) == 0).select("c", F.explode(_keys()).alias("key"))
+    often = few.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("b")).filter(F.col("n") >= OFTEN)
+    often = cut(often.orderBy(F.desc("n"), "key").limit(MAX_OFTEN).select("key", "b"), "line-keys")
+    tied = None
+    if not often.isEmpty():
+        tied = keyed.join(F.broadcast(often), "key").select(F.col("c").alias("a"), "b")
+        keyed = keyed.join(F.broadcast(often), "key", "left_anti")
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in it:
+            key, c, size = (b.column(k).to_numpy() for k in range(3))
+            if held is not None:
+                key, c, size = (np.concatenate(x) for x in zip(held, (key, c, size)))
+            held = (key[-1:], c[-1:], size[-1:])
+            near = np.flatnonzero((key[1:] == key[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:].astype(np.int64)))
+            if len(near):
+                yield pa.RecordBatch.from_arrays([pa.array(c[near]), pa.array(c[near + 1])], names=["a", "b"])
 
-def candidates(classes: DataFrame, bits: int, percent: int) -> DataFrame:
-    """a, b: edges such that all links lie within the components that they form. classes: c, print, size.
+    near = keyed.select("key", "c", "size").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
+    return near if tied is None else near.union(tied)
 
-    One shuffle deals fingerprints out by key; each key's are compared bit by bit, and a spanning forest of what is near enough is kept.
-    """
-    rows = classes.select("c", "print", "size", F.explode(_keys(F.col("print"), blocks_for(classes.count(), bits), bits)).alias("key")).select("key", "c", "print", F.col("size").cast("int").alias("size"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for long, (key, c, fingerprint, size) in number_runs(it, HOT):
-            if long:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c) - 1, c[0])), pa.array(c[1:])], names=["a", "b"])
-                continue
-            edge = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            many = np.flatnonzero(np.diff(edge) > 1)
-            prints, out = fingerprint.view(np.uint64), []
-            for i, j in zip(edge[many].tolist(), edge[many + 1].tolist()):
-                forest = tiles.Forest(j - i)
-                for k in range(i, j, 1024):  # rows of the comparison at a time
-                    x, n = prints[k : min(j, k + 1024), None], size[k : min(j, k + 1024), None].astype(np.int64)
-                    near = (np.bitwise_count(x ^ prints[None, i:j]) <= bits) & (100 * np.minimum(n, size[None, i:j]) >= percent * np.maximum(n, size[None, i:j]))
-                    u, v = np.nonzero(near)
-                    u = u + (k - i)
-                    u, v = u[u < v], v[u < v]
-                    for row in np.unique(u).tolist() if len(u) > 8 * (j - i) else ():  # crowded: a neighbour of each other tree is enough
-                        to = v[u == row]
-                        for t in to[forest.root[to] != forest.root[row]].tolist():
-                            forest.link(row, t)
-                    for a, b in zip(u.tolist(), v.tolist()) if len(u) <= 8 * (j - i) else ():
-                        forest.link(a, b)
-                out += [(i + a, i + b) for a, b in forest.edges]
-            if out:
-                a, b = (np.array(z) for z in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[a]), pa.array(c[b])], names=["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "c").mapInArrow(run, "a long, b long").distinct()
-
-
-def lines_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """c, line (normalised) of the wanted classes: c, at (doc_id and place of their first occurrence)."""
+def lines_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """c, line (normalised) of the wanted classes: c, at (t and place of an occurrence). A line counts only if its own hash is c."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # copies of a text have the same lines
         for b in batches(it, 0):
             c, line = [], []
-            for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t, h, want in zip(*(x.to_pylist() for x in b.columns)):
+                if h in done:
+                    continue
+                done.add(h)
                 parts = t.encode("utf-8", "surrogatepass").split(b"\n")
                 for w in want:
                     if w["place"] < len(parts):
                         c.append(w["c"]), line.append(normalised(parts[w["place"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(line, pa.binary())], names=["c", "line"])
+            if c:
+                found = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(line, pa.binary())], names=["c", "line"])
+                yield found.filter(pa.array(Lines(line).hash.view(np.int64) == np.array(c)))
 
-    ids = wanted.select(F.col("at.doc_id").alias("_id"), F.struct("c", "at.place").alias("w")).groupBy("_id").agg(F.collect_list("w").alias("want"))
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("_t"))
-    return rows.join(ids, F.col("d").eqNullSafe(F.col("_id"))).select("_t", "want").mapInArrow(run, "c long, line binary").dropDuplicates(["c"])
+    places = wanted.select(F.col("at.t").alias("_h"), F.struct("c", "at.place").alias("w")).groupBy("_h").agg(F.collect_list("w").alias("want"))
+    places = F.broadcast(places) if wanted.count() <= BROADCAST_TEXTS else places
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
+    return rows.join(places, "_h").select("_t", "_h", "want").mapInArrow(run, "c long, line binary").dropDuplicates(["c"])
 
 
-def groups(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, bits: int, percent: int) -> DataFrame:
-    """node, root: classes of lines in groups of two and more."""
-    classes = cut(lines.filter("size > 0").groupBy("c").agg(F.first("print").alias("print"), F.first("size").alias("size"), F.min(F.struct("doc_id", "place")).alias("at")), "line-classes")
-    found = components(cut(candidates(classes, bits, percent), "line-candidates"))
-    members = cut(found.select(F.col("node").alias("c"), F.col("root").alias("g")).join(classes, "c"), "line-members")
-    payload = cut(lines_of(docs, members, doc_id, text).join(members.select("c", "print"), "c"), "line-texts")
+def groups(docs: DataFrame, classes: DataFrame, text: str, percent: int) -> DataFrame:
+    """node, root: classes of lines in groups of two and more. classes: c, size, p0 to p4, at."""
+    found = components(candidates(classes, percent))
+    members = cut(classes.join(found.select(F.col("node").alias("c"), F.col("root").alias("g")), "c"), "line-members")
+    payload = cut(lines_of(docs, members, text).join(members.select("c", *PRINTS), "c"), "line-texts")
 
     def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
-        line, fingerprint = t.column("line").to_pylist(), t.column("print").to_numpy().view(np.uint64)
+        line, prints = t.column("line").to_pylist(), np.stack([t.column(p).to_numpy() for p in PRINTS], axis=1)
         size = np.array([len(x) for x in line])
+        prints[prints == 0] = -1  # agrees with none but itself
+        both = left & right  # such pairs come up once, from the first of the two
         for i in np.flatnonzero(left).tolist():
-            near = right & (np.bitwise_count(fingerprint ^ fingerprint[i]) <= bits) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            for j in np.flatnonzero(near & (forest.root != forest.root[i])).tolist():
-                longer = max(size[i], size[j])
-                most = int((100 - percent) * longer // 100)
-                if forest.root[i] != forest.root[j] and edit_distance(line[i], line[j], most) <= most:
+            near = np.flatnonzero(right & (forest.root != forest.root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            near = near[~(both[near] & both[i]) | (near > i)]
+            near = near[((prints[near] == prints[i]) & (prints[i] > 0)).sum(axis=1) >= AGREE]
+            for j in near.tolist():
+                if forest.root[i] != forest.root[j] and within(line[i], line[j], int((100 - percent) * max(size[i], size[j]) // 100)):
                     forest.link(i, j)
 
-    return tiles.links(members.select("c", "g", F.col("size").alias("n")), payload, kernel, percent / 100, TILE_LINES, TILE_BYTES)
+    out = tiles.links(members.select("c", "g", F.col("size").alias("n")), payload, kernel, percent / 100, TILE_LINES, TILE_BYTES)
+    discard(docs.sparkSession, payload), discard(docs.sparkSession, members)
+    return out
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, place, chars, kept, class_id (hash of the normalised line) and group_id (that of its group) of every line."""
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, place, chars, kept, class_id (hash of the normalised line) and group_id (that of its group) of every line."""
     lines = cut(occurrences(docs, doc_id, text), "lines")
-    roots = groups(docs, lines, doc_id, text, bits, percent)
     real = lines.filter("size > 0")
-    classes = real.groupBy("c").agg(F.min(F.struct("doc_id", "place")).alias("at")).join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    classes = cut(classes.join(classes.groupBy("root").agg(F.min("at").alias("first")), "root").select("c", "root", "first"), "line-groups")
-    out = real.join(classes, "c").select("doc_id", "place", "chars", F.struct("doc_id", "place").eqNullSafe(F.col("first")).alias("kept"), F.col("c").alias("class_id"), F.col("root").alias("group_id"))
+    first = [F.first(x).alias(x) for x in ("size", *PRINTS)]
+    classes = cut(real.groupBy("c").agg(*first, F.count("*").alias("n"), F.min(F.struct("t", "place")).alias("at"), F.min(F.struct("doc_id", "t", "place")).alias("first")), "line-classes")
+    roots = groups(docs, classes, text, percent).withColumnRenamed("node", "c")
+    # A class with one line and no group keeps it; the others are looked up.
+    known = cut(classes.join(roots, "c", "left").filter("n > 1 or root is not null").select("c", "n", "first", F.coalesce("root", "c").alias("root")), "line-known", [classes])
+    least = cut(known.groupBy("root").agg(F.min("first").alias("__first"), F.count("*").alias("__n")), "line-first")
+    known = cut(lookup(known.select("c", "n", "root"), least, "root", "__n"), "line-groups", [known, least])
+    out = lookup(real, known, "c", "n")
+    kept = F.col("__first").isNull() | F.struct("doc_id", "t", "place").eqNullSafe(F.col("__first"))
+    out = out.select("doc_id", F.col("t").alias("text_hash"), "place", "chars", kept.alias("kept"), F.col("c").alias("class_id"), F.coalesce("root", "c").alias("group_id"))
     none = F.lit(None).cast("long")
-    return out.unionByName(lines.filter("size = 0").select("doc_id", "place", "chars", F.lit(True).alias("kept"), none.alias("class_id"), none.alias("group_id")))
+    return out.unionByName(lines.filter("size = 0 or size is null").select("doc_id", F.col("t").alias("text_hash"), "place", "chars", F.lit(True).alias("kept"), none.alias("class_id"), none.alias("group_id")))
 
 
 def apply(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with only the kept lines in their texts; a text that loses all of them becomes empty. decided: dedup()."""
-    gone = decided.filter("not kept").select(F.col("doc_id").alias("__statlens_id"), "place").groupBy("__statlens_id").agg(F.collect_set("place").alias("__statlens_gone"))
+    gone = decided.filter("not kept").select(F.col("doc_id").alias("__statlens_id"), F.col("text_hash").alias("__statlens_text"), "place").groupBy("__statlens_id", "__statlens_text").agg(F.collect_set("place").alias("__statlens_gone"))
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__statlens_gone", i)), "\n")
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__statlens_id")), "left").withColumn(text, F.when(F.col("__statlens_gone").isNull(), F.col(text)).otherwise(kept)).drop("__statlens_id", "__statlens_gone")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__statlens_id")) & (F.xxhash64(text) == F.col("__statlens_text"))
+    return docs.join(gone, same, "left").withColumn(text, F.when(F.col("__statlens_gone").isNull(), F.col(text)).otherwise(kept)).drop("__statlens_id", "__statlens_text", "__statlens_gone")

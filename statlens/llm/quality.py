@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, text_bytes
-from .words import Words, mix, powers
+from .words import Words, mix, span_sums
 
 BASE = 17
 #: Features, their squares and a constant.
@@ -62,11 +62,9 @@ def shape(texts: list[bytes]) -> np.ndarray:
     last = kind[w.end - 1] if len(w.end) else np.zeros(0, np.uint8)
     signs = np.bincount(w.doc, weights=np.isin(last, (5, 8)), minlength=n)
     # Lines: the bytes between line ends, hashed like words.
-    up, down = powers(len(raw) + 1)
     ends = np.flatnonzero((kind == 7) | np.isin(np.arange(len(raw)), w.at[1:] - 1))
     begins = np.concatenate(([0], ends[:-1] + 1))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
-    line = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    line = mix(span_sums(raw, begins, ends) + (ends - begins).astype(np.uint64))
     owner = of[ends]
     keep = ends > begins
     line, owner = line[keep], owner[keep]

@@ -85,7 +85,7 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod5() == 0
     model = Model.fit(cut(count(docs, ~held_out), "trigrams"))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", F.transform("language.languages", lambda x: x["lang"]).alias("languages"))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score", F.transform("language.languages", lambda x: x["lang"]).alias("languages"))
 
 
 def op6_vector_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod5() == 0
     labels = table(spark, sf_dir, "labels").filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
     rows = features(table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
-    rows = cut(rows.select("doc_id", held_out.alias("held_out"), F.coalesce(~held_out & F.col("good"), F.lit(False)).alias("positive"), "x"), "quality")
+    rows = cut(rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(~held_out & F.col("good"), F.lit(False)).alias("positive"), "x"), "quality")
     return score(rows, fit(rows)).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
@@ -108,7 +108,8 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fuzzy_lines import dedup
 
     lines = dedup(table(spark, sf_dir, "documents"))
-    counts = [F.count("*").alias("n_lines"), F.sum(F.col("kept").cast("int")).alias("n_kept"), F.sum(F.when(F.col("kept"), F.col("chars")).otherwise(0)).alias("n_chars_kept")]
+    kept = F.col("kept") & F.col("place").isNotNull()
+    counts = [F.count("place").alias("n_lines"), F.count_if(kept).alias("n_kept"), F.sum(F.when(kept, F.col("chars")).otherwise(0)).alias("n_chars_kept")]
     return lines.groupBy("doc_id").agg(*counts, F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("place")))).alias("removed"))
 
 

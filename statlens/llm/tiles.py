@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, runs
+from .common import cut, discard, runs
 from .components import components
 
 #: Finds links in a tile. It gets the members' payloads as a table, which are on the left and right side, and a function to tell a link found
@@ -81,12 +81,16 @@ def links(members: DataFrame, payload: DataFrame, kernel: Kernel, ratio: float,
     found = components(first)
     rest = banded.filter(~F.col("whole"))
     if rest.isEmpty():
+        discard(first.sparkSession, first), discard(first.sparkSession, banded)
         return found
     rest = rest.join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     main = rest.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-    rest = cut(rest.join(main, "g").select("c", "n", "g", "band", (F.col("root") == F.col("main")).alias("core")), "rest")
+    rest = cut(rest.join(main, "g").select("c", "n", "g", "band", (F.col("root") == F.col("main")).alias("core")), "rest", [banded])
     m, units = _units(rest, ["band", "core"], docs, weight)
     a, b = (units.select("g", F.col("unit").alias(f"u{x}"), F.col("band").alias(f"b{x}"), F.col("core").alias(f"c{x}")) for x in "ab")
     near = (F.abs(F.col("ba") - F.col("bb")) <= 1) & ~F.col("ca") & (F.col("cb") | (F.col("ua") <= F.col("ub")))
     second = _tiles(m, a.join(b, "g").filter(near).select("g", "ua", "ub", tile), payload, kernel)
-    return components(cut(first.union(second), "links"))
+    all_links = cut(first.union(second), "links", [first, rest])
+    found = components(all_links)
+    discard(all_links.sparkSession, all_links)
+    return found

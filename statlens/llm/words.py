@@ -30,18 +30,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose prefix sums are held at a time.
+CHUNK = 1 << 20
+
+
 @functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of _M and of its inverse modulo 2**64."""
     inverse = pow(int(_M), -1, 1 << 64)
-    up, down = np.full(n, _M, np.uint64), np.full(n, np.uint64(inverse), np.uint64)
+    up, down = np.full(CHUNK, _M, np.uint64), np.full(CHUNK, np.uint64(inverse), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(20, int(n).bit_length()))
-    return up[:n], down[:n]
+def span_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each span of values, ascending and without overlap: the sum of (value + 1) * _M**place modulo 2**64, places counted within the span.
+
+    Prefix sums are taken of CHUNK values at a time, so memory doesn't grow with the longest text; a longer span is added up in parts.
+    """
+    up, down = _powers()
+    out, one = np.zeros(len(start), np.uint64), np.uint64(1)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + CHUNK - 1, "right"))
+        if j <= i:
+            total = 0
+            for k, s in enumerate(range(int(start[i]), int(end[i]), CHUNK)):
+                part = values[s : min(s + CHUNK, int(end[i]))].astype(np.uint64) + one
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_M), k * CHUNK, 1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+            i += 1
+            continue
+        lo, hi = start[i], end[j - 1]
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((values[lo:hi].astype(np.uint64) + one) * up[: hi - lo], dtype=np.uint64, out=total[1:])
+        out[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo]
+        i = j
+    return out
 
 
 class Words:
@@ -61,12 +86,7 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.count)
-        up, down = powers(len(self.buf) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-
-    def word(self, i: int) -> str:
-        return self.buf[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
+        self.hash = mix(span_sums(self.buf, self.start, self.end) + (self.end - self.start).astype(np.uint64))
 
 
 _ODD = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], np.uint64) | np.uint64(1)

@@ -28,18 +28,37 @@ def test_edit_distance():
         assert got == d if d <= most else got > most
 
 
-def test_blocks():
-    assert [fl.blocks_for(n) for n in (0, 10, 10**6)] == sorted(fl.blocks_for(n) for n in (0, 10, 10**6))
-    assert [fl.blocks_for(n) for n in (10**6, 10**8, 10**11)] == [4, 5, 6]
+def test_within():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = [rng.choice(["ab", "cde", "f", "ghij"]) for _ in range(rng.randrange(1, 9))]
+        b = [w if rng.random() < 0.7 else rng.choice(["x", "yz"]) for w in a]
+        a, b, most = " ".join(a).encode(), " ".join(b).encode(), rng.randrange(12)
+        assert fl.within(a, b, most) == (plain_distance(a, b) <= most)
+
+
+def test_one_word_leaves_all_but_two_blocks():
+    rng = random.Random(3)
+    for n in (2, 5, 12, 40, 300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        edits = [w[:k] + ["other"] + w[k + 1 :] for k in range(n)] + [w[:k] + w[k + 1 :] for k in range(n)] + [w[:k] + ["more"] + w[k:] for k in range(n)]
+        prints = fl.Lines([" ".join(x).encode() for x in [w, *edits]]).prints
+        assert ((prints != prints[0]).sum(axis=1) <= 2).all()
+
+
+def test_long_lines_take_one_bit_at_a_time(monkeypatch):
+    word = np.random.default_rng(1).integers(0, 1 << 63, 300_000).astype(np.uint64) // np.uint64(fl.BLOCKS << 40) * np.uint64(fl.BLOCKS << 40) + np.uint64(123 << 8)
+    prints = fl.fingerprints(word, np.zeros(len(word), np.int64), 1)
+    assert (prints == fl.fingerprints(word[:1000], np.zeros(1000, np.int64), 1)).all()
 
 
 def lined():
     rng = random.Random(6)
-    base = [" ".join(f"w{rng.randrange(10**6):06d}x" .translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)) for _ in range(6)]
+    base = [" ".join(f"w{rng.randrange(10**6):06d}x" .translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(12)) for _ in range(6)]
     out = [None, "", "\n\n", "123\n!!!", "Same line\nsame  LINE!\nother"]
-    for k in range(40):
+    for k in range(25):
         lines = []
-        for _ in range(5):
+        for _ in range(4):
             w = rng.choice(base).split()
             for _ in range(rng.randrange(3)):
                 w[rng.randrange(len(w))] = rng.choice(["foo", "bar", "q"])
@@ -48,11 +67,16 @@ def lined():
     return out
 
 
+def same_blocks(a, b):
+    return sum(x == y and x != 0 for x, y in zip(a, b))
+
+
 def brute(rows):
-    occ = [(i if i is not None else -1, k, fl.normalised(line.encode())) for i, t in rows if t is not None for k, line in enumerate(t.split("\n"))]
-    lines = sorted({o[2] for o in occ if o[2]})
-    prints = fl.Lines(lines, [False] * len(lines)).print
-    root = list(range(len(lines)))
+    """rows: id (-1 for none), hash of the text, text."""
+    occ = [(i, h, k, fl.normalised(line.encode())) for i, h, t in rows if t is not None for k, line in enumerate(t.split("\n"))]
+    lines = sorted({o[3] for o in occ if o[3]})
+    prints = fl.Lines(lines).prints.tolist()
+    root, linked = list(range(len(lines))), 0
 
     def find(x):
         while root[x] != x:
@@ -62,30 +86,75 @@ def brute(rows):
     for i, a in enumerate(lines):
         for j in range(i):
             longer = max(len(a), len(lines[j]))
-            if int(np.bitwise_count(prints[i] ^ prints[j])) <= 3 and 5 * abs(len(a) - len(lines[j])) <= longer and 5 * plain_distance(a, lines[j]) <= longer:
+            if same_blocks(prints[i], prints[j]) >= fl.AGREE and 5 * abs(len(a) - len(lines[j])) <= longer and 5 * plain_distance(a, lines[j]) <= longer:
                 root[find(i)] = find(j)
+                linked += 1
     number = {x: i for i, x in enumerate(lines)}
     first = {}
-    for i, k, line in sorted(set(occ)):
+    for i, h, k, line in sorted(set(occ)):
         if line:
-            first.setdefault(find(number[line]), (i, k))
-    return sorted((i, k, not line or first[find(number[line])] == (i, k)) for i, k, line in occ), len({find(x) for x in range(len(lines))}) < len(lines)
+            first.setdefault(find(number[line]), (i, h, k))
+    return sorted((i, h, k, not line or first[find(number[line])] == (i, h, k)) for i, h, k, line in occ), linked
+
+
+def odd_ids(df):
+    """The first texts under one id, some without any."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn("doc_id", F.when(F.col("doc_id") < 16, F.lit(5).cast("long")).when(F.col("doc_id") < 30, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
+
 
+@pytest.mark.parametrize(("often", "tile", "ids"), [(128, 256, lambda df: df), (1, 3, lambda df: df), (128, 256, odd_ids)])
+def test_against_brute_force(spark, monkeypatch, often, tile, ids):
+    from pyspark.sql import functions as F
 
-@pytest.mark.parametrize(("hot", "tile"), [(32, 256), (2, 3)])
-def test_against_brute_force(spark, monkeypatch, hot, tile):
-    monkeypatch.setattr(fl, "HOT", hot)
+    monkeypatch.setattr(fl, "OFTEN", often)
+    monkeypatch.setattr(fl, "SAMPLED", 1 if often == 1 else 64)
     monkeypatch.setattr(fl, "TILE_LINES", tile)
-    df = clashing(documents(spark, lined()))
-    want, fuzzy = brute([(r["doc_id"], r["text"]) for r in df.collect()])
+    df = clashing(ids(documents(spark, lined())))
+    rows = [(-1 if r[0] is None else r[0], r[1], r[2]) for r in df.select("doc_id", F.xxhash64("text"), "text").collect()]
+    want, linked = brute(rows)
     decided = fl.dedup(df)
-    assert fuzzy
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["place"], r["kept"]) for r in decided.collect()) == want
-    new = {r["doc_id"]: r["text"] for r in fl.apply(df, decided).collect()}
-    for r in df.collect():
-        i, t = r["doc_id"], r["text"]
-        keep = {k for j, k, kept in want if j == (i if i is not None else -1) and kept}
-        assert new[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k in keep))
+    assert linked > 20
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["text_hash"], r["place"], r["kept"]) for r in decided.collect()]
+    assert sorted(x for x in got if x[2] is not None) == want
+    assert len(got) - len(want) == sum(t is None for _, _, t in rows)
+    new = {(r[0], r[1]): r[2] for r in fl.apply(df.withColumn("x", F.xxhash64("text")), decided).select("doc_id", "x", "text").collect()}
+    for i, h, t in rows:
+        keep = {k for j, g, k, kept in want if (j, g) == (i, h) and kept}
+        assert new[(None if i == -1 else i, h)] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k in keep))
+
+
+def test_numbers_are_compared(spark):
+    texts = ["total 123456789", "total 987654321", "2024", "2024", "receipt of the first payment 1234567890 for all of you", "receipt of the first payment 1234567891 for all of you"]
+    kept = {r["doc_id"]: r["kept"] for r in fl.dedup(documents(spark, texts, repeated=False)).collect()}
+    assert kept == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False}
+
+
+def recall(words, edits, pairs=400, seed=5):
+    """The share of pairs of lines with so many words replaced and edit similarity of 0.8 or more that agree on enough blocks."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(5000)]
+    found = total = 0
+    while total < pairs:
+        a = [rng.choice(vocabulary) for _ in range(words)]
+        b = list(a)
+        for k in rng.sample(range(words), edits):
+            b[k] = rng.choice(vocabulary)
+        a, b = " ".join(a).encode(), " ".join(b).encode()
+        if a == b or not fl.within(a, b, max(len(a), len(b)) // 5):
+            continue
+        total += 1
+        x, y = fl.Lines([a, b]).prints
+        found += same_blocks(x, y) >= fl.AGREE
+    return found / total
+
+
+def test_recall():
+    assert recall(20, 1) == recall(30, 1) == 1
+    assert recall(12, 1) > 0.98
+    assert recall(8, 1) > 0.95
+    assert recall(20, 2) > 0.7
 
 
 def test_empty(spark):
