@@ -2,14 +2,14 @@
 
 Lines are normalised (A-Z lower-cased, what is neither an ASCII letter or digit nor beyond ASCII taken as space, spaces made one). Equal
 normalised lines are one class. A class's fingerprint is a SimHash in BLOCKS blocks: each word votes in one block only, which its hash names, so
-one word that is edited, put in or left out leaves all but two blocks as they were. Classes that agree on AGREE blocks (with a word
-in each) and whose lengths fit are candidates; by pigeonholes, these are all that share the key of one choice of AGREE blocks. Of them, edit
-similarity alone (1 - distance / longer length, in bytes) decides: `percent` or more links. One occurrence of each connected
-group of lines is kept: the first by doc_id, hash of the text, and place.
+one word that is edited, put in or left out leaves all but two blocks as they were; beside them stands a SimHash of all words. Classes that agree on AGREE
+blocks (with a word in each), whose whole SimHashes differ in FAR bits or fewer and whose lengths fit are candidates; by pigeonholes, these are found
+among those that share the key of one choice of AGREE blocks. Edit similarity (1 - distance / longer length, in bytes) decides of candidates:
+`percent` or more links. One occurrence of each connected group of lines is kept: the first by doc_id, hash of the text, and place.
 
-Classes with a common key are tied to one another in order of their lengths, where these fit; a key that very many classes share ties them to
-one of them, without a shuffle. Groups so made are compared in tiles (see tiles.py), so no link is lost. Only fingerprints are
-shuffled until then; lines themselves are read again for candidates, found by the hash of their text and told by their own.
+Classes with a common key are compared by fingerprint, and a spanning forest of the candidates goes on. Keys that very many classes share, found on a sample,
+are compared in tiles of bounded size instead (see tiles.py). Groups of candidates are then compared line by line in tiles, so no link is lost. Only
+fingerprints are shuffled until then; lines themselves are read again for candidates, found by the hash of their text and told by their own.
 
 Defined cases: a null text has one row with a null place; an empty one has one empty line; lines that normalise to nothing are always kept; repeated rows
 and rows with one id and several texts have a row for each line of each; rows with a null doc_id come first; of lines with the same first
@@ -28,16 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import batches, cut, discard, lookup, text_bytes
+from .common import batches, cut, discard, lookup, number_runs, text_bytes
 from .components import components
 from .words import mix, span_sums
 
 #: Blocks of a fingerprint, bits of each, and how many have to agree.
 BLOCKS, BITS, AGREE = 5, 24, 2
+#: Bits of the SimHash of all words, and how many of them may differ.
+WHOLE, FAR = 63, 16
 PERCENT = 80
-#: One class in SAMPLED shows which keys very many classes share: those of OFTEN of them or more, MAX_OFTEN (16 bytes each) at most.
+#: One class in SAMPLED shows which keys very many classes share: those of OFTEN of them or more, MAX_OFTEN (8 bytes each) at most.
 SAMPLED, OFTEN, MAX_OFTEN = 64, 128, 100_000
-TILE_LINES, TILE_BYTES = 256, 1_000_000
+#: Classes of one key that a task holds; no more share a key that the sample missed, and if they did, they would be tied without being compared.
+HELD = 1 << 16
+TILE_LINES, TILE_BYTES, TILE_PRINTS = 256, 1_000_000, 4096
 BROADCAST_TEXTS = 1_000_000
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -50,27 +54,30 @@ _FOLD[10] = 10
 PRINTS = [f"p{k}" for k in range(BLOCKS)]
 
 
-def fingerprints(word: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """The blocks of n lines' fingerprints, from the hashes of words and the numbers of their lines. A block without a word is 0, and no other is."""
-    at = line * BLOCKS + ((word >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
-    count = np.bincount(at, minlength=n * BLOCKS)
-    # Votes of up to three bits are added up in one number, each in 17 bits of it; lines too long for that take one bit at a time.
+def simhash(word: np.ndarray, of: np.ndarray, n: int, first: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of n sets of words, over `bits` bits of the words' hashes from the bit `first` on; and how many words each has. `of`: each word's set."""
+    count = np.bincount(of, minlength=n)
+    # Votes on three bits are added up in one number, each in 17 bits of it; sets too large for that take one bit at a time.
     lanes = 3 if not len(count) or count.max() < 1 << 17 else 1
-    shift = np.arange(lanes) * 17
-    votes = (((np.arange(1 << lanes)[:, None] >> np.arange(lanes)) & 1) << shift).sum(axis=1).astype(float)
-    out = np.zeros(n * BLOCKS, np.int64)
-    for bit in range(0, BITS, lanes):
-        total = np.bincount(at, weights=votes[(word >> np.uint64(bit + 8)).astype(np.int64) & ((1 << lanes) - 1)], minlength=n * BLOCKS).astype(np.int64)
+    votes = (((np.arange(1 << lanes)[:, None] >> np.arange(lanes)) & 1) << np.arange(lanes) * 17).sum(axis=1).astype(float)
+    out = np.zeros(n, np.int64)
+    for bit in range(0, bits, lanes):
+        total = np.bincount(of, weights=votes[(word >> np.uint64(first + bit)).astype(np.int64) & ((1 << lanes) - 1)], minlength=n).astype(np.int64)
         for k in range(lanes):
             one = total >> 17 * k & (1 << 17) - 1 if lanes > 1 else total
             out |= (2 * one > count).astype(np.int64) << bit + k
-    out[(out == 0) & (count > 0)] = 1
-    out[count == 0] = 0
-    return out.reshape(n, BLOCKS)
+    return out, count
+
+
+def fingerprints(word: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """The blocks of n lines' fingerprints, from the hashes of words and the numbers of their lines. A block without a word is 0, and no other is."""
+    block = line * BLOCKS + ((word >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
+    out, count = simhash(word, block, n * BLOCKS, 8, BITS)
+    return np.where(count == 0, 0, np.maximum(out, 1)).reshape(n, BLOCKS)
 
 
 class Lines:
-    """The lines of texts: doc (text number), place (number in the text), hash, prints (blocks of the fingerprint) and size in bytes of the normalised line (0: nothing left), chars as they stood."""
+    """The lines of texts: doc (text number), place (number in the text), hash, prints (blocks of the fingerprint), whole (SimHash of all words) and size in bytes of the normalised line (0: nothing left), chars as they stood."""
 
     def __init__(self, texts: list[bytes]) -> None:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -92,7 +99,8 @@ class Lines:
         has = np.flatnonzero(words)
         self.hash = np.zeros(n, np.uint64)
         self.hash[has] = mix(span_sums(word, first[has], first[has] + words[has]) + words[has].astype(np.uint64))
-        self.prints = fingerprints(word, np.repeat(np.arange(n), words), n)
+        line = np.repeat(np.arange(n), words)
+        self.prints, self.whole = fingerprints(word, line, n), simhash(word, line, n, 0, WHOLE)[0]
 
 
 def normalised(line: bytes) -> bytes:
@@ -146,11 +154,11 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-LINES = "doc_id long, t long, place int, chars long, c long, size long, " + ", ".join(f"{p} int" for p in PRINTS)
+LINES = "doc_id long, t long, place int, chars long, c long, size long, whole long, " + ", ".join(f"{p} int" for p in PRINTS)
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, t (hash of the text), place, chars, c (hash of the normalised line), size and p0 to p4 (blocks of its fingerprint) of every line; a null text has one row, with null place and size."""
+    """doc_id, t (hash of the text), place, chars, c (hash of the normalised line), size, whole (its SimHash) and p0 to p4 (blocks of its fingerprint) of every line; a null text has one row, with null place and size."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2):
@@ -158,8 +166,8 @@ def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             x = Lines(texts)
             gone = np.array(null)[x.doc]
             doc = pa.array(x.doc)
-            cols = [b.column(0).take(doc), b.column(1).take(doc), pa.array(x.place.astype(np.int32), mask=gone), pa.array(x.chars), pa.array(x.hash.view(np.int64)), pa.array(x.size, mask=gone), *(pa.array(p.astype(np.int32)) for p in x.prints.T)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "place", "chars", "c", "size", *PRINTS])
+            cols = [b.column(0).take(doc), b.column(1).take(doc), pa.array(x.place.astype(np.int32), mask=gone), pa.array(x.chars), pa.array(x.hash.view(np.int64)), pa.array(x.size, mask=gone), pa.array(x.whole), *(pa.array(p.astype(np.int32)) for p in x.prints.T)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "place", "chars", "c", "size", "whole", *PRINTS])
 
     return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(run, LINES)
 
@@ -173,30 +181,80 @@ def _keys() -> Column:
     return F.array_compact(F.array(*out))
 
 
+def _near(whole: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether lines i and j may link by their SimHashes and sizes."""
+    a, b = size[i].astype(np.int64), size[j].astype(np.int64)
+    return (np.bitwise_count(whole[i] ^ whole[j]) <= FAR) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def _spread(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label, the least row that each row is tied to, after ties of rows i with rows j."""
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        for x in (i, j, label[i], label[j]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _ties(key: np.ndarray, whole: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """For each row the first row that it is tied to; rows come in order of key."""
+    label = np.arange(len(key))
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    length = np.diff(np.concatenate((begin, [len(key)])))
+    found = [(np.zeros(0, np.int64),) * 2]
+    for n in np.unique(length[(length > 1) & (length <= 32)]).tolist():
+        at = begin[length == n][:, None]
+        i, j = ((at + x).ravel() for x in np.triu_indices(n, 1))
+        ok = _near(whole, size, i, j, percent)
+        found.append((i[ok], j[ok]))
+    label = _spread(label, *(np.concatenate(x) for x in zip(*found)))
+    for s, n in zip(begin[length > 32].tolist(), length[length > 32].tolist()):
+        step = max(1, (1 << 20) // n)
+        for k in range(s, s + n, step):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(k, min(k + step, s + n)), np.arange(k + 1, s + n), indexing="ij"))
+            open_ = (i < j) & (label[i] != label[j])
+            i, j = i[open_], j[open_]
+            ok = _near(whole, size, i, j, percent)
+            if ok.any():
+                label = _spread(label, i[ok], j[ok])
+    return label
+
+
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges such that all links lie within the components that they form. classes: c, size, p0 to p4."""
-    keyed = classes.select("c", F.col("size").cast("int").alias("size"), F.explode(_keys()).alias("key"))
-    few = classes.filter(F.pmod("c", F.lit(SAMPLED)) == 0).select("c", F.explode(_keys()).alias("key"))
-    often = few.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("b")).filter(F.col("n") >= OFTEN)
-    often = cut(often.orderBy(F.desc("n"), "key").limit(MAX_OFTEN).select("key", "b"), "line-keys")
-    tied = None
+    """a, b: edges such that all links lie within the components that they form. classes: c, size, whole, p0 to p4."""
+    keyed = classes.select("c", F.col("size").cast("int").alias("size"), "whole", F.explode(_keys()).alias("key"))
+    few = classes.filter(F.pmod("c", F.lit(SAMPLED)) == 0).select(F.explode(_keys()).alias("key"))
+    often = few.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    often = cut(often.orderBy(F.desc("n"), "key").limit(MAX_OFTEN).select("key"), "line-keys")
+    ends = []
     if not often.isEmpty():
-        tied = keyed.join(F.broadcast(often), "key").select(F.col("c").alias("a"), "b")
+        hot = cut(keyed.join(F.broadcast(often), "key"), "line-often")
         keyed = keyed.join(F.broadcast(often), "key", "left_anti")
 
+        def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
+            whole, size = t.column("whole").to_numpy(), t.column("size").to_numpy()
+            for i in np.flatnonzero(left).tolist():
+                to = np.flatnonzero(right & (forest.root != forest.root[i]))
+                for j in to[_near(whole, size, np.full(len(to), i), to, percent)].tolist():
+                    forest.link(i, j)
+
+        payload = hot.select("c", "whole", "size").dropDuplicates(["c"])
+        pairs = tiles.links(hot.select("c", F.col("key").alias("g"), F.col("size").alias("n")), payload, kernel, percent / 100, TILE_PRINTS, 1 << 62)
+        ends.append(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in it:
-            key, c, size = (b.column(k).to_numpy() for k in range(3))
-            if held is not None:
-                key, c, size = (np.concatenate(x) for x in zip(held, (key, c, size)))
-            held = (key[-1:], c[-1:], size[-1:])
-            near = np.flatnonzero((key[1:] == key[:-1]) & (100 * size[:-1].astype(np.int64) >= percent * size[1:].astype(np.int64)))
-            if len(near):
-                yield pa.RecordBatch.from_arrays([pa.array(c[near]), pa.array(c[near + 1])], names=["a", "b"])
+        for long, (key, c, size, whole) in number_runs(it, HELD):
+            first = np.zeros(len(c), np.int64) if long else _ties(key, whole, size, percent)
+            tied = np.flatnonzero(first != np.arange(len(c)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(c[tied]), pa.array(c[first[tied]])], names=["a", "b"])
 
-    near = keyed.select("key", "c", "size").repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
-    return near if tied is None else near.union(tied)
+    ends.append(keyed.select("key", "c", "size", "whole").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long"))
+    return functools.reduce(DataFrame.union, ends)
 
 
 def lines_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -225,19 +283,20 @@ def lines_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 def groups(docs: DataFrame, classes: DataFrame, text: str, percent: int) -> DataFrame:
-    """node, root: classes of lines in groups of two and more. classes: c, size, p0 to p4, at."""
+    """node, root: classes of lines in groups of two and more. classes: c, size, whole, p0 to p4, at."""
     found = components(candidates(classes, percent))
     members = cut(classes.join(found.select(F.col("node").alias("c"), F.col("root").alias("g")), "c"), "line-members")
-    payload = cut(lines_of(docs, members, text).join(members.select("c", *PRINTS), "c"), "line-texts")
+    payload = cut(lines_of(docs, members, text).join(members.select("c", "whole", *PRINTS), "c"), "line-texts")
 
     def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
         line, prints = t.column("line").to_pylist(), np.stack([t.column(p).to_numpy() for p in PRINTS], axis=1)
-        size = np.array([len(x) for x in line])
+        size, whole = np.array([len(x) for x in line]), t.column("whole").to_numpy()
         prints[prints == 0] = -1  # agrees with none but itself
         both = left & right  # such pairs come up once, from the first of the two
         for i in np.flatnonzero(left).tolist():
-            near = np.flatnonzero(right & (forest.root != forest.root[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            near = np.flatnonzero(right & (forest.root != forest.root[i]))
             near = near[~(both[near] & both[i]) | (near > i)]
+            near = near[_near(whole, size, np.full(len(near), i), near, percent)]
             near = near[((prints[near] == prints[i]) & (prints[i] > 0)).sum(axis=1) >= AGREE]
             for j in near.tolist():
                 if forest.root[i] != forest.root[j] and within(line[i], line[j], int((100 - percent) * max(size[i], size[j]) // 100)):
@@ -252,7 +311,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     """doc_id, text_hash, place, chars, kept, class_id (hash of the normalised line) and group_id (that of its group) of every line."""
     lines = cut(occurrences(docs, doc_id, text), "lines")
     real = lines.filter("size > 0")
-    first = [F.first(x).alias(x) for x in ("size", *PRINTS)]
+    first = [F.first(x).alias(x) for x in ("size", "whole", *PRINTS)]
     classes = cut(real.groupBy("c").agg(*first, F.count("*").alias("n"), F.min(F.struct("t", "place")).alias("at"), F.min(F.struct("doc_id", "t", "place")).alias("first")), "line-classes")
     roots = groups(docs, classes, text, percent).withColumnRenamed("node", "c")
     # A class with one line and no group keeps it; the others are looked up.
