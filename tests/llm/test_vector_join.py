@@ -3,6 +3,8 @@ import pytest
 
 from statlens.llm import vector_join
 
+from .data import clashing
+
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
@@ -42,7 +44,10 @@ def test_against_brute_force(spark, monkeypatch, cell, tile, dim):
             rows.append((len(rows), [float(x) for x in centre + rng.normal(size=dim) * np.linalg.norm(centre) / np.sqrt(dim) * rng.choice([0.02, 0.1, 0.13])], k % 3))
     rows += [(1000, rows[3][1], rows[3][2]), (1001, rows[3][1], rows[3][2]), (1002, rows[3][1], None), (1003, None, 1), (1004, [0.0] * dim, 1), (1005, [float("nan")] + [1.0] * (dim - 1), 1)]
     rows += [(1006, [None] + [1.0] * (dim - 1), 1), (1007, [float("inf")] * dim, 1), (1008, [], 1), (1009, [1.0, 2.0], 1)]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    # Other lengths with the same labels, a zero with a sign, ids that repeat, and columns with the operator's own names.
+    rows += [(1010, [1.0, 2.01], 1), (1011, [2.0, 4.0], 1), (1012, [1.0] * 5, 2), (1013, [2.0] * 5, 2), (1014, [0.0, 1.0], 2), (1015, [-0.0, 1.0], 2), (1016, [1e30, 1e-30], 2), (1017, [1e25, 0.0], 2)]
+    rows += [(7, rows[0][1], rows[0][2]), (7, [5.0, 1.0], 0)]
+    df = clashing(spark.createDataFrame(rows, SCHEMA).repartition(3))
     got = vector_join.join(df)
     assert sorted(tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()) == brute(rows)
 
