@@ -13,8 +13,9 @@ frequency among them, rarest first. What is then frequent still belongs to large
 which go to the matrix product as a whole, in tiles of bounded size (see tiles.py). No link is lost by that.
 
 Defined cases: a null, empty or blank text has no n-grams, links with nothing and is its own component; a text with
-fewer than n words has its whole sequence as the only n-gram. Repeated rows (same id or not) are copies of a class and linked.
-Sets are told apart by 64-bit digests, n-grams by 64-bit hashes. Other columns are not looked at.
+fewer than n words has its whole sequence as the only n-gram. Repeated rows (same id or not) are copies of a class and linked. Null ids take
+part, but are the least id of a component only where it has no other. Sets are told apart by 64-bit digests, n-grams by 64-bit hashes; texts are read again by
+their hashes, whatever their ids, and told by their digests. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import tiles
-from .common import batches, cut, text_bytes
+from .common import BROADCAST_IDS, batches, cut, discard, lookup, text_bytes
 from .components import components
 from .words import Words, mix, shingle_sets
 
@@ -40,8 +40,8 @@ HOT, HOT_AGAIN = 192, 48
 SAMPLED, FREQUENT, MAX_FREQUENT = 16, 3, 2_000_000
 #: Documents and n-grams that one side of a tile holds, on average at most.
 TILE_DOCS, TILE_GRAMS = 192, 400_000
-#: Ids up to this many are broadcast, 16 bytes each; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: One class in OFTEN_SAMPLED shows which n-grams are so frequent among prefixes that their classes are tied without a shuffle: those of OFTEN of them or more, MAX_OFTEN at most.
+OFTEN_SAMPLED, OFTEN, MAX_OFTEN = 64, 24, 100_000
 
 
 def _set_digest(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,13 +66,13 @@ def frequent(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n, c (digest of the set), prefix (its least n-gram hashes, frequent ones left out) and heavy (the prefix is short of them) of every row."""
+    """doc_id, t (hash of the text), n, c (digest of the set), prefix (its least n-gram hashes, frequent ones left out) and heavy (the prefix is short of them) of every row."""
     last = docs.sparkSession.sparkContext.broadcast(frequent(docs, n, doc_id, text))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
-        for b in batches(it, 1):
-            value, at = shingle_sets(Words(text_bytes(b.column(1))[0]), n)
+        for b in batches(it, 2):
+            value, at = shingle_sets(Words(text_bytes(b.column(2))[0]), n)
             size = np.diff(at)
             digest = _set_digest(value, at)
             owner = np.repeat(np.arange(len(size)), size)
@@ -86,24 +86,31 @@ def signatures(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) ->
             ends = np.concatenate(([0], np.cumsum(keep)))
             take = np.repeat(at[:-1] - ends[:-1], keep) + np.arange(ends[-1])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value[take].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(size), pa.array(digest), pa.array(left < want), prefix], names=["doc_id", "n", "c", "heavy", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(digest), pa.array(left < want), prefix], names=["doc_id", "t", "n", "c", "heavy", "prefix"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, c long, heavy boolean, prefix array<long>")
+    return docs.select(F.col(doc_id).cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, t long, n long, c long, heavy boolean, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """c and grams (sorted hashes) of the classes wanted: c, first_id. Read from the texts again, which is cheaper than keeping all sets."""
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
+    """c and grams (sorted hashes) of the classes wanted: c, t (hash of a text with that set). Read from the texts again, which is cheaper than keeping all sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = np.zeros(0, np.int64)  # copies of a text have the same set
         for b in batches(it, 0):
+            c = b.column(1).to_numpy()
+            _, first = np.unique(c, return_index=True)
+            b = b.take(pa.array(np.sort(first[~np.isin(c[first], done)])))
+            if not b.num_rows:
+                continue
             value, at = shingle_sets(Words(text_bytes(b.column(0))[0]), n)
             keep = np.flatnonzero(_set_digest(value, at) == b.column(1).to_numpy())
+            done = np.concatenate((done, b.column(1).to_numpy()[keep]))
             grams = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64))).take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), grams], names=["c", "grams"])
 
-    ids = wanted.select("c", F.col("first_id").alias("_id"))
+    ids = wanted.select("c", F.col("t").alias("_h"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).join(ids.withColumnRenamed("_id", "_want"), F.col("_id").eqNullSafe(F.col("_want"))).select("_t", "c")
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h")).join(ids, "_h").select("_t", "c")
     return rows.mapInArrow(run, "c long, grams array<long>").dropDuplicates(["c"])
 
 
@@ -111,8 +118,14 @@ def _pairs(tokens: DataFrame, percent: int, hot: int) -> DataFrame:
     """a, b: edges such that all links between classes that meet in these prefixes lie in their components. tokens: t, c, n.
 
     An n-gram of up to `hot` classes makes pairs of fitting sizes, counted once for each n-gram that they share; one of
-    more ties all its classes to one of them, which is an edge with a count that suffices.
+    more ties all its classes to one of them, which is an edge with a count that suffices. Those of very many classes do so where the classes' rows lie.
     """
+    often = tokens.filter(F.pmod(F.xxhash64("c"), F.lit(OFTEN_SAMPLED)) == 0).groupBy("t").agg(F.count("*").alias("m"), F.min("c").alias("b"))
+    often = cut(often.filter(F.col("m") >= max(OFTEN, hot // OFTEN_SAMPLED + 1)).orderBy(F.desc("m"), "t").limit(MAX_OFTEN).select("t", "b"), "often")
+    tied = None
+    if not often.isEmpty():
+        tied = tokens.join(F.broadcast(often), "t").filter("c <> b").select(F.col("c").alias("a"), "b")
+        tokens = tokens.join(F.broadcast(often), "t", "left_anti")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -159,7 +172,8 @@ def _pairs(tokens: DataFrame, percent: int, hot: int) -> DataFrame:
 
     rows = tokens.select("t", "c", "n").repartition("t").sortWithinPartitions("t", "c").mapInArrow(run, "a long, b long, na long, nb long, k long")
     need = F.least(F.lit(LEAST), F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9))
-    return rows.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("shared")).filter(F.col("shared") >= need).select("a", "b")
+    near = rows.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("shared")).filter(F.col("shared") >= need).select("a", "b")
+    return near if tied is None else near.union(tied)
 
 
 def _then_none(it: Iterator) -> Iterator:
@@ -167,18 +181,20 @@ def _then_none(it: Iterator) -> Iterator:
     yield None
 
 
-def candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     """a, b: edges such that all links lie within the components that they form. rows: signatures()."""
     prefixes = rows.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    pairs = cut(_pairs(prefixes.select("c", "n", F.explode("prefix").alias("t")), percent, HOT), "pairs")
-    heavy = cut(rows.filter("heavy").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id")), "heavy")
-    grams = sets_of(docs, heavy, n, doc_id, text).join(heavy.select("c", "n"), "c").select("c", "n", F.explode("grams").alias("t"))
-    grams = cut(grams, "heavy-grams")
+    prefixes = cut(prefixes, "prefixes")
+    pairs = cut(_pairs(prefixes.select("c", "n", F.explode("prefix").alias("t")), percent, HOT), "pairs", [prefixes])
+    heavy = cut(rows.filter("heavy").groupBy("c").agg(F.first("n").alias("n"), F.min("t").alias("t")), "heavy")
+    grams = sets_of(docs, heavy, n, text).join(heavy.select("c", "n"), "c").select("c", "n", F.explode("grams").alias("t"))
+    grams = cut(grams, "heavy-grams", [heavy])
     often = grams.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = grams.join(often, "t", "left").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("all"))
     first = F.least(F.col("n"), F.col("n") + LEAST - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).cast("int")
     rare = ranked.select("c", "n", F.explode(F.slice("all", F.lit(1), first)).alias("x")).select("c", "n", "x.t", "x.df").filter("df > 1")
-    return pairs.union(_pairs(rare, percent, HOT_AGAIN))
+    rare = cut(rare, "heavy-prefixes", [grams])
+    return cut(pairs.union(_pairs(rare, percent, HOT_AGAIN)), "candidates", [pairs, rare])
 
 
 def _product(docs: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -213,55 +229,60 @@ def _forest(docs: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
             forest.link(i, j)
 
 
-def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """node, root: the linked classes' components. rows: signatures(); classes: c, n, first_id."""
-    groups = components(cut(candidates(docs, rows, n, percent, doc_id, text), "candidates"))
-    members = cut(groups.select(F.col("node").alias("c"), F.col("root").alias("g")).join(classes, "c"), "members")
-    sets = cut(sets_of(docs, members, n, doc_id, text), "sets")
+def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """node, root: the linked classes' components. rows: signatures(); classes: c, n, t."""
+    found = candidates(docs, rows, n, percent, text)
+    groups = components(found)
+    members = cut(groups.select(F.col("node").alias("c"), F.col("root").alias("g")).join(classes, "c"), "members", [found])
+    sets = cut(sets_of(docs, members, n, text), "sets")
 
     def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
         grams = t.column("grams").chunk(0)
         _forest(np.split(grams.flatten().to_numpy(), np.cumsum(grams.value_lengths().to_numpy())[:-1]), left, right, percent, forest)
 
-    return tiles.links(members.select("c", "g", "n"), sets, kernel, percent / 100, TILE_DOCS, TILE_GRAMS)
+    out = tiles.links(members.select("c", "g", "n"), sets, kernel, percent / 100, TILE_DOCS, TILE_GRAMS)
+    discard(docs.sparkSession, sets), discard(docs.sparkSession, members)
+    return out
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id that links reach) and class_id (digest of the set, null without n-grams) of every row.
+    """doc_id, text_hash, n_shingles, component_id (least id that links reach) and group_id (the same for all of a component; null without n-grams) of every row.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of n-word shingles.
     """
     rows = cut(signatures(docs, n, percent, doc_id, text), "signatures")
     full = rows.filter("n > 0")
-    classes = cut(full.groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_id")), "classes")
-    found = links(docs, rows, classes, n, percent, doc_id, text)
-    least = classes.select("c", "first_id").join(found.withColumnRenamed("node", "c"), "c")
-    least = least.join(least.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("c", "component_id")
-    ids = classes.select("c", "first_id").join(least, "c", "left").select("c", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = full.select("doc_id", "n", "c").join(ids, "c")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"))
-    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id")))
+    classes = cut(full.groupBy("c").agg(F.first("n").alias("n"), F.min("t").alias("t"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
+    found = links(docs, rows, classes, n, percent, text).withColumnRenamed("node", "c")
+    # A class of one document without links is its own component; the others are looked up.
+    known = classes.join(found, "c", "left").filter("copies > 1 or root is not null").select("c", "copies", "first_id", F.coalesce("root", "c").alias("root"))
+    known = cut(known, "groups", [classes])
+    least = cut(known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("__n")), "least")
+    known = cut(lookup(known.select("c", "copies", "root"), least, "root", "__n"), "known", [known, least])
+    out = lookup(full.select("doc_id", "t", "n", "c"), known, "c", "copies")
+    least_id = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.select("doc_id", F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), least_id.alias("component_id"), F.coalesce("root", "c").alias("group_id"))
+    alone = rows.filter("n = 0").select("doc_id", F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
+    return out.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each component: the one with the least id stays, and one row of that, whole. Documents without n-grams stay."""
-    found = cut(join(docs, n, percent, doc_id, text), "decided")
-    rows, ids, pairs = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_distinct("doc_id", F.coalesce("class_id", F.lit(0)))).first()
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__statlens_id"), F.col("class_id").alias("__statlens_class"))
-    if rows == ids:
-        gone = F.broadcast(gone.select("__statlens_id")) if gone.count() <= BROADCAST_IDS else gone.select("__statlens_id")
-        return docs.join(gone, docs[doc_id].cast("long") == F.col("__statlens_id"), "left_anti")
-    # Ids that repeat or are null: rows are told apart by their sets too, and copies under one id are made one.
-    place = docs.columns.index(text)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, place):
-            value, at = shingle_sets(Words(text_bytes(b.column(place))[0]), n)
-            c = pa.array(_set_digest(value, at), mask=np.diff(at) == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, c], names=[*b.schema.names, "__statlens_set"])
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__statlens_set", T.LongType())]))
-    kept = marked.join(gone.distinct(), (F.col(doc_id).cast("long") == F.col("__statlens_id")) & (F.col("__statlens_set") == F.col("__statlens_class")), "left_anti")
-    twice = found.filter("class_id is not null").groupBy("doc_id", "class_id").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("__statlens_id"), F.col("class_id").alias("__statlens_class"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__statlens_id")) & (F.col("__statlens_set") == F.col("__statlens_class"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([doc_id, "__statlens_set"])).drop("__statlens_set")
+    """docs without all but one document of each component: the first by id (null last) and hash of its text, and of rows that are the same in both, one. Documents without n-grams stay."""
+    found = cut(join(docs, n, percent, doc_id, text).filter("group_id is not null"), "decided")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = cut(found.groupBy("group_id").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "firsts")
+    grouped = lookup(found, first, "group_id", "rows").filter("first is not null")
+    grouped = cut(grouped.withColumn("stays", order.eqNullSafe(F.col("first"))).groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")), "grouped", [found, first])
+    gone, twice = grouped.filter("not stays"), grouped.filter("stays and rows > 1")
+    id_, hash_ = F.col(doc_id).cast("long"), F.xxhash64(text)
+
+    def same(x: DataFrame) -> DataFrame:
+        x = x.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_hash").alias("__statlens_row"))
+        return F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+
+    row = F.xxhash64(F.coalesce(id_.cast("string"), F.lit("-")), hash_)
+    kept = docs.withColumn("__statlens_row", row).join(same(gone), "__statlens_row", "left_anti")
+    if twice.isEmpty():
+        return kept.drop("__statlens_row")
+    again = same(twice)
+    return kept.join(again, "__statlens_row", "left_anti").unionByName(kept.join(again, "__statlens_row", "left_semi").dropDuplicates(["__statlens_row"])).drop("__statlens_row")

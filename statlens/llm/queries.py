@@ -20,7 +20,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join
 
-    return join(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return join(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [hash(ws)]
+                             ELSE list_distinct([hash(ws[i:i + 3]) for i in generate_series(1, len(ws) - 3)]) END AS grams FROM w),
+t AS (SELECT r, len(grams) AS n, unnest(grams) AS t FROM g),
+l AS (SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+p AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT r, r AS reach FROM g UNION SELECT c.r, p.y FROM c JOIN p ON p.x = c.reach)
+SELECT g.doc_id, CAST(len(g.grams) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM c JOIN g ON g.r = c.r JOIN g o ON o.r = c.reach GROUP BY g.r, g.doc_id, g.grams
+"""
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +106,15 @@ def op6_vector_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT r, label, v FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in v if x <> 0]) > 0),
+p AS (SELECT a.r AS x, b.r AS y FROM s a JOIN s b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+c AS (SELECT r, r AS reach FROM e UNION SELECT c.r, p.y FROM c JOIN p ON p.x = c.reach),
+m AS (SELECT c.r, min(o.vec_id) AS component_id FROM c JOIN e o ON o.r = c.reach GROUP BY c.r)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.x = e.r) AS n_links, m.component_id, coalesce(e.vec_id = m.component_id, false) AS kept FROM e JOIN m ON m.r = e.r
+"""
+
 def op8_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import features, fit, score
 
@@ -126,7 +147,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_fixity_audit": op1_fixity_audit, "op2_decontaminate": op2_decontaminate, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_mix_sources": op4_mix_sources, "op5_language_mixture": op5_language_mixture, "op6_vector_pigeonhole": op6_vector_pigeonhole, "op7_html_main_text": op7_html_main_text, "op8_quality_pu": op8_quality_pu, "op9_fuzzy_lines": op9_fuzzy_lines, "op10_pack_rows": op10_pack_rows, "pipeline": pipeline}
-SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op4_mix_sources": OP4_SQL}
+SQL: dict[str, str] = {"op1_fixity_audit": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_vector_pigeonhole": OP6_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

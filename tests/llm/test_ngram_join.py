@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from statlens.llm import ngram_join, tiles
+from statlens.llm import common, ngram_join, tiles
 
 from .data import DOCS, clashing, documents
 
@@ -46,6 +46,9 @@ def test_against_brute_force(spark, monkeypatch, n, percent, hot, docs, sampled)
     monkeypatch.setattr(ngram_join, "HOT_AGAIN", hot)
     monkeypatch.setattr(ngram_join, "TILE_DOCS", docs)
     monkeypatch.setattr(ngram_join, "SAMPLED", sampled)
+    if sampled != 16:
+        monkeypatch.setattr(ngram_join, "OFTEN_SAMPLED", 1)
+        monkeypatch.setattr(ngram_join, "OFTEN", 2)
     df = clashing(documents(spark))
     got = sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1) for r in ngram_join.join(df, n, percent).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute([(r["doc_id"], r["text"]) for r in df.collect()], n, percent)
@@ -53,7 +56,9 @@ def test_against_brute_force(spark, monkeypatch, n, percent, hot, docs, sampled)
 
 
 def test_ids_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    for module in (ngram_join, common):
+        monkeypatch.setattr(module, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     df = documents(spark, ["a b c d e f g h"] * 3 + ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y 1"], repeated=False)
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.join(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
 
@@ -68,6 +73,14 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(plain).count() == len({c for i, n, c in brute([(r["doc_id"], r["text"]) for r in plain.collect()], 5, 80) if i == c})
 
 
+def test_one_of_each_without_ids(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, text), (None, text), (None, text[:-1] + "1"), (5, text[:-1] + "2"), (5, text[:-1] + "3"), (6, text), (7, "other words of a text"), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = [r["doc_id"] for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(-1 if i is None else i for i in got) == [-1, -1, 5, 7]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert ngram_join.join(df).count() == 0
