@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (A-Z lower-cased, what is neither an ASCII letter or digit nor beyond ASCII taken as space, spaces made one). Equal
-normalised lines are one class. A class's fingerprint is a SimHash in BLOCKS blocks: each word votes in one block only, which its hash names, so
+normalised lines are one class. A class's fingerprint is a SimHash in BLOCKS blocks: each word votes in one block only, which its hash names, and once, so
 one word that is edited, put in or left out leaves all but two blocks as they were; beside them stands a SimHash of all words. Classes that agree on AGREE
 blocks (with a word in each), whose whole SimHashes differ in FAR bits or fewer and whose lengths fit are candidates; by pigeonholes, these are found
 among those that share the key of one choice of AGREE blocks. Edit similarity (1 - distance / longer length, in bytes) decides of candidates:
@@ -54,6 +54,16 @@ _FOLD[10] = 10
 PRINTS = [f"p{k}" for k in range(BLOCKS)]
 
 
+def _distinct(line: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of lines and words, in order of lines."""
+    room = 64 - int(line[-1]).bit_length() if len(line) else 64  # bits that the line's number leaves for the word in one number to sort by
+    both = (line << np.uint64(room) | word >> np.uint64(64 - room)) if room < 64 else word
+    order = np.argsort(both)
+    both = both[order]
+    order = order[np.concatenate(([True], both[1:] != both[:-1]))] if len(order) else order
+    return line[order].astype(np.int64), word[order]
+
+
 def simhash(word: np.ndarray, of: np.ndarray, n: int, first: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """SimHashes of n sets of words, over `bits` bits of the words' hashes from the bit `first` on; and how many words each has. `of`: each word's set."""
     count = np.bincount(of, minlength=n)
@@ -99,7 +109,9 @@ class Lines:
         has = np.flatnonzero(words)
         self.hash = np.zeros(n, np.uint64)
         self.hash[has] = mix(span_sums(word, first[has], first[has] + words[has]) + words[has].astype(np.uint64))
-        line = np.repeat(np.arange(n), words)
+        # Each distinct word of a line votes once, or the commonest words would outvote the others.
+        line = np.repeat(np.arange(n, dtype=np.uint64), words)
+        line, word = _distinct(line, word)
         self.prints, self.whole = fingerprints(word, line, n), simhash(word, line, n, 0, WHOLE)[0]
 
 
