@@ -5,23 +5,24 @@ copy may have kept no others. A text's seed hits give windows around the item's
 that agrees scores MATCH, one that differs MISMATCH, one left out or put in GAP. An item whose best alignment reaches `threshold` of its perfect
 score is in the text. Where too few of the item's words occur for that score, in the text or in the window, nothing is aligned; so common seeds cost little.
 
-Items are the query set and go to the executors, in blocks of BLOCK_WORDS words; documents are
-scanned where they lie, once a block, and nothing of them is shuffled.
+Items are the query set and go to the executors in blocks of BLOCK_WORDS words, of which the driver holds one at a time; documents are
+scanned where they lie, once a block, and nothing of them is shuffled. Where seeds are so common that their hits would fill a worker,
+the items are gone through in parts.
 
-Defined cases: null and blank texts hold nothing; items that are null or have fewer than SEED words have no seeds and are found nowhere; equal items are
-found together; repeated rows give repeated results; very long texts are scanned whole.
+Defined cases: null and blank texts hold nothing; items that are null or have fewer than SEED words have no seeds and are found nowhere; items and documents without
+id are found like others, with a null id; equal items are found together; repeated rows give repeated results; very long texts are scanned whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_bytes
+from .common import batches, cut, text_bytes
 from .words import Words, ngrams
 
 #: Words of a seed.
@@ -30,6 +31,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words of benchmark items in one block: 30 MB or so as arrays.
 BLOCK_WORDS = 1_000_000
+#: Seed hits times the items that a seed stands for, at a time.
+MAX_HITS = 2_000_000
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -50,9 +53,9 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 class Items:
     """A block of items: their words' hashes, and the sorted seeds with the items and places that they stand for."""
 
-    def __init__(self, ids: list[int], texts: list[bytes]) -> None:
+    def __init__(self, ids: list[int | None], texts: list[bytes]) -> None:
         w = Words(texts, plain=True)
-        self.ids = np.array(ids, np.int64)
+        self.ids = pa.array(ids, pa.int64())
         self.words = [w.hash[i:j] for i, j in zip(w.first, w.first[1:])]
         seeds = [(ngrams(x, SEED), k) for k, x in enumerate(self.words)]
         self.gram = np.concatenate([g for g, _ in seeds] or [np.zeros(0, np.uint64)])
@@ -82,12 +85,20 @@ class Items:
 
     def find(self, w: Words, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(text number, item number, score, first word, word behind the last) for the items in each text."""
-        hit, key = self.hits(w)
-        lo, hi = np.searchsorted(self.gram, self.key, "left"), np.searchsorted(self.gram, self.key, "right")
+        return self._find(w, threshold, *self.hits(w), 0, len(self.words))
+
+    def _find(self, w: Words, threshold: float, hit: np.ndarray, key: np.ndarray, low: int, high: int) -> list[tuple[int, int, float, int, int]]:
+        """find() for the items from low on and before high."""
+        own = (self.item >= low) & (self.item < high)
+        gram, items, places = self.gram[own], self.item[own], self.place[own]
+        lo, hi = np.searchsorted(gram, self.key, "left"), np.searchsorted(gram, self.key, "right")
         n = (hi - lo)[key]
+        if n.sum() > MAX_HITS and high - low > 1:
+            mid = (low + high) // 2
+            return self._find(w, threshold, hit, key, low, mid) + self._find(w, threshold, hit, key, mid, high)
         seed = np.repeat(lo[key] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(key) else np.zeros(0, np.int64)
-        where, item = np.repeat(hit, n), self.item[seed]
-        start = where - self.place[seed]
+        where, item = np.repeat(hit, n), items[seed]
+        start = where - places[seed]
         doc = w.doc[where]
         order = np.lexsort((start, item, doc))
         out: list[tuple[int, int, float, int, int]] = []
@@ -122,45 +133,63 @@ class Items:
         return out
 
 
-def _blocks(bench: DataFrame, item_id: str, text: str) -> list[Items]:
-    """The benchmark in blocks of bounded size, read once. All of them are held here."""
-    held, out, words = [], [], 0
-    for r in bench.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), text).orderBy(item_id, text).toLocalIterator():
-        held.append((r[0], r[1].encode("utf-8", "surrogatepass")))
-        words += r[1].count(" ") + 1
-        if words >= BLOCK_WORDS:
-            out.append(held)
-            held, words = [], 0
-    return [Items([i for i, _ in x], [t for _, t in x]) for x in [*out, held] if x]
+class Benchmark:
+    """The benchmark's items in blocks of bounded size, read anew and made one at a time whenever it is gone through. rows: id and text."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[Items]:
+        held: list[tuple[int | None, bytes]] = []
+        words = 0
+        for item, text in self.rows.toLocalIterator():
+            held.append((item, text.encode("utf-8", "surrogatepass")))
+            words += len(text.split())
+            if words >= BLOCK_WORDS:
+                yield Items(*map(list, zip(*held)))
+                held, words = [], 0
+        if held:
+            yield Items(*map(list, zip(*held)))
+
+
+def prepared(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Benchmark:
+    """The items with their seeds. Nothing is learnt from docs: a seed's count there doesn't say whether a copy holds it."""
+    return Benchmark(bench.filter(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), item_text).orderBy(item_id, item_text))
 
 
-def prepared(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> list[Items]:
-    """The benchmark's blocks with their seeds. Nothing is learnt from docs: a seed's count there doesn't say whether a copy holds it."""
-    return _blocks(bench, item_id, item_text)
+def _each(blocks: Iterable[Items]) -> Iterator[tuple[Items, bool]]:
+    """The blocks, and whether others follow."""
+    it = iter(blocks)
+    last = next(it, None)
+    while last is not None:
+        following = next(it, None)
+        yield last, following is not None
+        last = following
 
 
-def matches(docs: DataFrame, blocks: list[Items], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score (share of the item's perfect score), first_word and end_word of each item found in each text."""
+def matches(docs: DataFrame, blocks: Iterable[Items], doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score (share of the item's perfect score), first_word and end_word of each item found in each text. All blocks but the last are done before this returns."""
     schema = "doc_id long, item_id long, score double, first_word int, end_word int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks:
+    out = None
+    for items, more in _each(blocks):
 
         def run(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches(it, 1):
                 found = items.find(Words(text_bytes(b.column(1))[0], plain=True), threshold)
                 if found:
                     d, k, score, first, end = (np.array(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)).cast(pa.int64()), pa.array(items.ids[k]), pa.array(score), pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)).cast(pa.int64()), items.ids.take(pa.array(k)), pa.array(score), pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
         got = docs.select(doc_id, text).mapInArrow(run, schema)
-        out = got if items is blocks[0] else out.unionByName(got)
-    return out
+        got = cut(got, "matches") if more else got
+        out = got if out is None else out.unionByName(got)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, blocks: list[Items], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+def clean(docs: DataFrame, blocks: Iterable[Items], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that hold no item, with all their columns. All blocks but the last are done before this returns."""
     place = docs.columns.index(text)
-    for items in blocks:
+    for items, more in _each(blocks):
 
         def run(it: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches(it, place):
@@ -168,4 +197,5 @@ def clean(docs: DataFrame, blocks: list[Items], text: str = "text", threshold: f
                 yield b.take(pa.array([i for i in range(b.num_rows) if i not in bad], pa.int64())) if bad else b
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = cut(docs, "clean") if more else docs
     return docs

@@ -6,7 +6,7 @@ A container's points are discounted by its link density and raised where its tag
 holds the article. The best container is kept with those of its siblings that are paragraphs, or
 score near it. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code are left out wherever they stand.
 
-Defined cases: a null or empty page, or one without text, gives ''. Pages cut short are read as far as they go; a tag cut off at
+Defined cases: a null or empty page, or one without text, gives ''; of containers with equal scores the first is taken. Pages cut short are read as far as they go; a tag cut off at
 the end is markup. Repeated rows give repeated results.
 """
 
@@ -194,7 +194,9 @@ def main_text(page: str | None) -> str:
         while at is not None and not keep:
             keep, at = id(at) in kept, at.parent
         sibling = node.tag == "p" and node.parent is best.parent and best.boost < 3.0 and best.parent is not None
-        if keep or (sibling and in_links <= 0.25 * len(text) and len(text) > 80):
+        # A long paragraph beside the best container may hold some links; a short one has to be a sentence without any.
+        told = len(text) > 80 and in_links <= 0.25 * len(text) or not in_links and text.rstrip("\"')”’»").endswith((".", "!", "?", "…"))
+        if keep or (sibling and told):
             out.append(text)
     return "\n".join(out)
 

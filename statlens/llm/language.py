@@ -7,7 +7,7 @@ are added in order of share as long as the penalised likelihood (each language c
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text if no training document has a
 language. Only rows with text and language train. Very long texts are read whole. Ties between languages go to the first by name.
-Repeated rows count as often as they occur.
+Repeated rows count as often as they occur. Of other columns only one named `language` is touched: the result takes its place.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import BATCH_BYTES, batches
 
 #: Trigram buckets; the model has so many numbers for each language, however large the corpus.
 BUCKETS = 1 << 15
@@ -28,7 +28,8 @@ BUCKETS = 1 << 15
 MAX_LANGUAGES = 500
 SMOOTHING = 0.5
 PENALTY = 2.0
-ROUNDS = 10
+#: Shares are estimated until none of a text changes by more than this; ROUNDS is a stop for texts that hardly move any more.
+TOLERANCE, ROUNDS = 1e-4, 500
 RANKING_ROUNDS = 3
 
 
@@ -155,23 +156,34 @@ def _mixed(like: np.ndarray, doc: np.ndarray, pi: np.ndarray) -> tuple[np.ndarra
 
 
 def _em(like: np.ndarray, first: np.ndarray, doc: np.ndarray, pi: np.ndarray, rounds: int) -> np.ndarray:
-    """The shares after so many rounds from pi on."""
+    """The shares from pi on, after so many rounds or when they stand still; texts that do are set aside."""
+    out, rest = pi.copy(), np.arange(pi.shape[1])
     n = np.diff(np.concatenate((first, [len(doc)])))
-    for _ in range(rounds):
+    for k in range(rounds):
         parts, total = _mixed(like, doc, pi)
         parts /= np.maximum(total, 1e-300)
-        pi = np.add.reduceat(parts, first, axis=1) / n
-    return pi
+        new = np.add.reduceat(parts, first, axis=1) / n
+        moved, pi = np.abs(new - pi).max(axis=0) > TOLERANCE, new
+        if not moved.any():
+            break
+        if k % 4 == 3 and np.count_nonzero(moved) < 0.8 * len(moved):
+            out[:, rest[~moved]] = pi[:, ~moved]
+            take, rest, pi, n = moved[doc], rest[moved], pi[:, moved], n[moved]
+            like, doc = like[:, take], np.repeat(np.arange(len(n)), n)
+            first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    out[:, rest] = pi
+    return out
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a struct `language`: lang_pred, score (that language's share) and languages (names and shares, largest first)."""
+    """docs with a struct `language`: lang_pred, score (that language's share) and languages (names and shares, largest first), in place of a column of that name."""
+    docs = docs.drop("language")
     names = [*model.languages]
     columns = [c for c in docs.columns]
     place = columns.index(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, place):
+        for b in batches(it, place, max(1 << 14, BATCH_BYTES * 8 // max(8, len(names)))):  # fewer texts at a time for more languages
             shares, words = model.infer([x or "" for x in b.column(place).to_pylist()])
             order = np.argsort(-shares, axis=1, kind="stable")
             out = []

@@ -4,7 +4,7 @@ Every document gets a hash-random key. Within each source the documents stand in
 mix takes them from the start until the source's word budget is used up, whole epochs first. Words
 before a document are found by two-level prefix sums: key buckets are summed (pre-aggregated before
 any shuffle), the bucket in which the budget ends is found among these sums, and only that bucket's
-documents, one in BUCKETS, are ordered. Texts never move: each document is compared in place
+documents are ordered; the more rows there are, the more buckets. Texts never move: each document is compared in place
 with the cut of its source.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of its own, last
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Three hexadecimal digits of the key name its bucket.
-BUCKET_DIGITS = 3
+#: So many hexadecimal digits of the key name its bucket; one more for each 16 times that many rows beyond BUCKET_ROWS a bucket.
+BUCKET_DIGITS, BUCKET_ROWS = 3, 20_000
 #: Sources beyond this are joined by a shuffle, no more broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -65,16 +65,20 @@ def targets(sized: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1
 def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """plan with, for each source: epochs (whole passes over it), and where the last, partial pass ends:
     cut_key and cut_size of the documents that it ends in, and cut_take, the words each of those gives."""
-    bucket = F.substring("key", 1, BUCKET_DIGITS)
+    digits, per_bucket = BUCKET_DIGITS, sized.count() / 16**BUCKET_DIGITS
+    while per_bucket > BUCKET_ROWS and digits < 8:
+        digits, per_bucket = digits + 1, per_bucket / 16
+    few = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda x: x
+    bucket = F.substring("key", 1, digits)
     budget = F.floor(F.col("target") + 0.5).cast("long")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("part", budget - F.col("epochs") * F.col("source_size"))
     sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
     in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
-    last = sums.join(F.broadcast(plan.select(F.col("source").alias("s"), "part")), F.col("source").eqNullSafe(F.col("s")))
+    last = sums.join(few(plan.select(F.col("source").alias("s"), "part")), F.col("source").eqNullSafe(F.col("s")))
     last = last.filter((F.col("before") < F.col("part")) & (F.col("part") <= F.col("before") + F.col("size"))).select("s", "bucket", F.col("before").alias("bucket_before"), "part")
-    rows = sized.join(F.broadcast(last), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))
+    rows = sized.join(few(last), F.col("source").eqNullSafe(F.col("s")) & (bucket == F.col("bucket")))
     rows = rows.groupBy("s", "key", "size", "bucket_before", "part").agg(F.count("*").alias("copies"))
     in_bucket = Window.partitionBy("s").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("bucket_before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(in_bucket), F.lit(0)))
@@ -84,9 +88,9 @@ def cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """docs with a struct `mix` of size, source_size, target, taken and epochs of its source."""
+    """docs with a struct `mix`, in place of a column of that name, of size, source_size, target, taken and epochs of its source."""
     sized = cut(docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), random_key(F.col(doc_id), seed).alias("key")), "mix")
-    plan = cut(cuts(sized, targets(sized, max_epochs, weights)), "mix-plan")
+    plan = cut(cuts(sized, cut(targets(sized, max_epochs, weights), "mix-targets")), "mix-plan", [sized])
     named = plan.select(F.struct(*plan.columns).alias("__statlens_p"))
     if plan.count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)

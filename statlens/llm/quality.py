@@ -4,7 +4,8 @@ Trusted positives are rows labelled 1; every document, labelled or not, is unlab
 over features of the text's shape minimises the non-negative unbiased risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 with the logistic loss l. The class prior is the least ratio of unlabelled to positive mass above a score, over scores of a
-first fit. All rows take part: each Newton step is one pass over the stored features that returns D*D sums.
+first fit. All rows take part: each try of a Newton step is one pass over the stored features that returns 2*D*D sums; a step is halved until
+the clamped risk goes down, and where the unlabelled part is clamped only the positive part is followed.
 
 Defined cases: null and empty texts have the features of an empty text and get a score; a document with several
 labels counts as positive only if all of them are 1; without positives every score is 0.5; repeated rows
@@ -26,7 +27,7 @@ from .words import Words, mix, span_sums
 BASE = 17
 #: Features, their squares and a constant.
 D = 2 * BASE + 1
-STEPS = 8
+STEPS, HALVINGS = 12, 5
 RIDGE = 1e-4
 BINS = 200
 #: Positive mass that a score has to have above it to count for the prior; less is at the mercy of chance.
@@ -127,31 +128,65 @@ def _sigmoid(g: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
 
-def _newton(rows: DataFrame, scale, mean_pos: np.ndarray, n: float, n_pos: float, prior: float, w: np.ndarray) -> np.ndarray:
-    """Minimises the risk from w on; a step that would make the unlabelled risk of negatives fall below 0 is halved until it doesn't."""
-    step = np.zeros(D)
-    for _ in range(STEPS):
+class Risk:
+    """The clamped risk at w, its gradient and curvature, from one pass over the rows.
+
+    Where the unlabelled rows' negative risk is below 0 it counts as 0, and only the positives' risk is left to go down.
+    """
+
+    def __init__(self, sums: np.ndarray, n: float, n_pos: float, prior: float, mean_pos: np.ndarray, w: np.ndarray) -> None:
+        """sums: loss of all rows as negatives, of positives as such and as negatives, gradient and curvature of all rows, and of positives, as negatives."""
+        every, good, bad = sums[0] / n, sums[1] / n_pos, sums[2] / n_pos
+        self.negative = every - prior * bad
+        self.value = prior * good + max(0.0, self.negative) + RIDGE / 2 * float(w @ w)
+        at = [3, 3 + D, 3 + 2 * D, 3 + 2 * D + D * D, 3 + 2 * D + 2 * D * D]
+        g_all, g_pos, h_all, h_pos = (sums[i:j] for i, j in zip(at, at[1:]))
+        # A positive's loss as such has the gradient (p - 1) x, as a negative p x. What the unlabelled part subtracts of positives cancels
+        # but for a constant, so with it the curvature is that of all rows, and that of the positives alone where it is clamped.
+        ridge = RIDGE * w, RIDGE * np.eye(D)
+        whole = g_all / n - prior * mean_pos + ridge[0], h_all.reshape(D, D) / n + ridge[1]
+        clamped = prior * (g_pos / n_pos - mean_pos) + ridge[0], prior * h_pos.reshape(D, D) / n_pos + ridge[1]
+        #: Gradient and curvature, and behind them those on the other side of the clamp, which lead on where the minimum lies at its edge.
+        self.sides = (clamped, whole) if self.negative < 0 else (whole, clamped)
+        self.gradient = self.sides[0][0]
+
+
+def minimise(risk, w: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Newton steps on risk(w) from w on, each halved until the risk goes down; the best w seen. Stops where no step gains anything."""
+    here = risk(w)
+    for _ in range(steps):
+        for gradient, curvature in here.sides:
+            step = -np.linalg.solve(curvature, gradient)
+            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
+            for _ in range(HALVINGS):
+                there = risk(w + step)
+                if there.value < here.value - 1e-6:
+                    break
+                step = step / 2
+            else:
+                continue
+            break
+        else:
+            return w
+        w, here = w + step, there
+    return w
+
+
+def risk_of(rows: DataFrame, scale, mean_pos: np.ndarray, n: float, n_pos: float, prior: float):
+    """The clamped risk as a function of w; each call is one pass over rows."""
 
-        def pass_(col: pa.Array, pos: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+    def at(w: np.ndarray) -> Risk:
+        def pass_(col: pa.Array, pos: np.ndarray) -> np.ndarray:
             x = _matrix(col, scale)
             g = x @ w
-            p, loss = _sigmoid(g), np.logaddexp(0, g)
-            h = (x * (p * (1 - p))[:, None]).T @ x
-            return np.concatenate(([loss.sum(), loss[pos].sum()], x.T @ p, h.ravel()))
-
-        got = _sums(rows, pass_)
-        negative_risk = got[0] / n - prior * got[1] / n_pos
-        if negative_risk < 0 and np.abs(step).max() > 1e-3:
-            step = step / 2
-            w = w - step
-            continue
-        gradient = got[2 : 2 + D] / n - prior * mean_pos + RIDGE * w
-        step = -np.linalg.solve(got[2 + D :].reshape(D, D) / n + RIDGE * np.eye(D), gradient)
-        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
-        w = w + step
-        if np.abs(step).max() < 1e-3:
-            break
-    return w
+            p, bad = _sigmoid(g), np.logaddexp(0, g)
+            weight, good = p * (1 - p), x[pos]
+            h, h_pos = (x * weight[:, None]).T @ x, (good * weight[pos][:, None]).T @ good
+            return np.concatenate(([bad.sum(), np.logaddexp(0, -g[pos]).sum(), bad[pos].sum()], x.T @ p, good.T @ p[pos], h.ravel(), h_pos.ravel()))
+
+        return Risk(_sums(rows, pass_), n, n_pos, prior, mean_pos, w)
+
+    return at
 
 
 def fit(rows: DataFrame) -> Model | None:
@@ -168,7 +203,7 @@ def fit(rows: DataFrame) -> Model | None:
     mean = got[2 : 1 + D] / n
     scale = (mean, np.sqrt(np.maximum(got[1 + D :] / n - mean**2, 1e-8)))
     mean_pos = _sums(rows, lambda col, pos: _matrix(col, scale)[pos].sum(axis=0)) / n_pos
-    w = _newton(rows, scale, mean_pos, n, n_pos, 0.5, np.zeros(D))
+    w = minimise(risk_of(rows, scale, mean_pos, n, n_pos, 0.5), np.zeros(D))
 
     def histogram(col: pa.Array, pos: np.ndarray) -> np.ndarray:
         at = np.minimum((_sigmoid(_matrix(col, scale) @ w) * BINS).astype(int), BINS - 1)
@@ -177,7 +212,7 @@ def fit(rows: DataFrame) -> Model | None:
     got = _sums(rows, histogram)
     unl, pos = np.cumsum(got[:BINS][::-1]) / n, np.cumsum(got[BINS:][::-1]) / n_pos
     prior = float(np.clip((unl / np.maximum(pos, 1e-9))[pos >= LEAST_MASS].min(), 0.01, 0.99))
-    return Model(*scale, _newton(rows, scale, mean_pos, n, n_pos, prior, w), prior)
+    return Model(*scale, minimise(risk_of(rows, scale, mean_pos, n, n_pos, prior), w), prior)
 
 
 def score(rows: DataFrame, model: Model | None) -> DataFrame:

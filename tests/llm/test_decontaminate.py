@@ -59,7 +59,7 @@ def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_WORDS", 60)
     df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(docs)], DOCS)
     blocks = dc.prepared(df, spark.createDataFrame([*enumerate(items)], ITEMS))
-    assert len(blocks) > 3
+    assert sum(1 for _ in blocks) > 3
     assert {(r["doc_id"], r["item_id"]) for r in dc.matches(df, blocks).collect()} == want
 
 
@@ -104,3 +104,16 @@ def test_replaced_words_against_full_alignment(spark, size, replaced):
     blocks = dc.prepared(df, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], ITEMS))
     assert {(r["doc_id"], r["item_id"]) for r in dc.matches(df, blocks).collect()} == want
     assert {r["doc_id"] for r in dc.clean(df, blocks).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_common_seeds_and_items_without_id(spark, monkeypatch):
+    """One phrase that all items share, repeated in a text: the items are gone through in parts, and nothing is lost."""
+    items = [f"the same old phrase of all items number{k} ends here" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(items)), (None, items[3]), (2, "the same old phrase of all " * 50), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(items)], "item_id long, text string")
+    found = lambda: sorted(map(repr, dc.matches(docs, dc.prepared(docs, bench)).collect()))
+    want = found()
+    assert {r["item_id"] for r in dc.matches(docs, dc.prepared(docs, bench)).filter("doc_id = 1").collect()} == {None if k == 3 else k for k in range(40)}
+    monkeypatch.setattr(dc, "MAX_HITS", 20)
+    assert found() == want
+    assert [r["doc_id"] for r in dc.clean(docs, dc.prepared(docs, bench)).filter("text is null or length(text) < 80").collect()] == [3]

@@ -20,7 +20,7 @@ def test_mixtures_and_odd_texts(spark):
     assert model.languages == ["de", "en"]
     texts = [english, german.upper(), f"{english} {german}", None, "", "123 !!! ...", "\U0001f600", " ".join([english] * 300), "the"]
     df = spark.createDataFrame([(k, t, "?", None, 0) for k, t in enumerate(texts)], DOCS)
-    got = {r["doc_id"]: r["language"] for r in language.identify(clashing(df).drop("language"), model).collect()}
+    got = {r["doc_id"]: r["language"] for r in language.identify(clashing(df), model).collect()}
     assert [got[k]["lang_pred"] for k in range(9)] == ["en", "de", got[2]["lang_pred"], "und", "und", "und", "und", "en", "en"]
     assert {x["lang"] for x in got[2]["languages"]} == {"en", "de"} and sum(x["share"] for x in got[2]["languages"]) == pytest.approx(1)
     assert all(0 <= g["score"] <= 1 for g in got.values()) and got[3]["score"] == 0
