@@ -56,6 +56,11 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(found: DataFrame) -> DataFrame:
+    """A table of cut() to be joined with a larger one: broadcast if it has up to BROADCAST_IDS rows, else left to a shuffle."""
+    return F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+
+
 def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str) -> DataFrame:
     """rows left-joined to found on `key`. found: a table of cut() with one row a key; its column `weight` tells how many rows have the key, and is dropped.
 

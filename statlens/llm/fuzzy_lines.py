@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .common import batches, cut, discard, lookup, number_runs, text_bytes
+from .common import BROADCAST_IDS, batches, cut, discard, few, lookup, number_runs, text_bytes
 from .components import components
 from .words import mix, span_sums
 
@@ -42,7 +42,6 @@ SAMPLED, OFTEN, MAX_OFTEN = 64, 128, 100_000
 #: Classes of one key that a task holds; no more share a key that the sample missed, and if they did, they would be tied without being compared.
 HELD = 1 << 16
 TILE_LINES, TILE_BYTES, TILE_PRINTS = 256, 1_000_000, 4096
-BROADCAST_TEXTS = 1_000_000
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -270,7 +269,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """c, line (normalised) of the wanted classes: c, at (t and place of an occurrence). A line counts only if its own hash is c."""
+    """c, line (normalised) of the wanted classes: c, first (t and place of an occurrence). A line counts only if its own hash is c."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies of a text have the same lines
@@ -288,16 +287,16 @@ def lines_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                 found = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(line, pa.binary())], names=["c", "line"])
                 yield found.filter(pa.array(Lines(line).hash.view(np.int64) == np.array(c)))
 
-    places = wanted.select(F.col("at.t").alias("_h"), F.struct("c", "at.place").alias("w")).groupBy("_h").agg(F.collect_list("w").alias("want"))
-    places = F.broadcast(places) if wanted.count() <= BROADCAST_TEXTS else places
+    places = wanted.select(F.col("first.t").alias("_h"), F.struct("c", "first.place").alias("w")).groupBy("_h").agg(F.collect_list("w").alias("want"))
+    places = F.broadcast(places) if wanted.count() <= BROADCAST_IDS else places
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
     return rows.join(places, "_h").select("_t", "_h", "want").mapInArrow(run, "c long, line binary").dropDuplicates(["c"])
 
 
 def groups(docs: DataFrame, classes: DataFrame, text: str, percent: int) -> DataFrame:
-    """node, root: classes of lines in groups of two and more. classes: c, size, whole, p0 to p4, at."""
-    found = components(candidates(classes, percent))
-    members = cut(classes.join(found.select(F.col("node").alias("c"), F.col("root").alias("g")), "c"), "line-members")
+    """node, root: classes of lines in groups of two and more. classes: c, size, whole, p0 to p4, first."""
+    found = cut(components(candidates(classes, percent)).select(F.col("node").alias("c"), F.col("root").alias("g")), "line-candidates")
+    members = cut(classes.join(few(found), "c"), "line-members", [found])
     payload = cut(lines_of(docs, members, text).join(members.select("c", "whole", *PRINTS), "c"), "line-texts")
 
     def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
@@ -324,10 +323,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     lines = cut(occurrences(docs, doc_id, text), "lines")
     real = lines.filter("size > 0")
     first = [F.first(x).alias(x) for x in ("size", "whole", *PRINTS)]
-    classes = cut(real.groupBy("c").agg(*first, F.count("*").alias("n"), F.min(F.struct("t", "place")).alias("at"), F.min(F.struct("doc_id", "t", "place")).alias("first")), "line-classes")
-    roots = groups(docs, classes, text, percent).withColumnRenamed("node", "c")
+    classes = cut(real.groupBy("c").agg(*first, F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "place")).alias("first")), "line-classes")
+    roots = cut(groups(docs, classes, text, percent).withColumnRenamed("node", "c"), "line-roots")
     # A class with one line and no group keeps it; the others are looked up.
-    known = cut(classes.join(roots, "c", "left").filter("n > 1 or root is not null").select("c", "n", "first", F.coalesce("root", "c").alias("root")), "line-known", [classes])
+    known = cut(classes.join(few(roots), "c", "left").filter("n > 1 or root is not null").select("c", "n", "first", F.coalesce("root", "c").alias("root")), "line-known", [classes, roots])
     least = cut(known.groupBy("root").agg(F.min("first").alias("__first"), F.count("*").alias("__n")), "line-first")
     known = cut(lookup(known.select("c", "n", "root"), least, "root", "__n"), "line-groups", [known, least])
     out = lookup(real, known, "c", "n")
