@@ -8,7 +8,7 @@ not dealt out by that node: what such hubs have to know of themselves is aggrega
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard
@@ -19,13 +19,19 @@ HUB_EDGES, MAX_HUBS = 200_000, 1_000
 
 def _at(rows: DataFrame, node: str, value: str, least: str, edges: int, wanted: str = "true") -> DataFrame:
     """The wanted rows, with the column `least`: the least `value` among all rows with the same node. `edges`: how many rows there may be."""
-    found, rows = rows.groupBy(node).agg(F.min(value).alias(least), F.count("*").alias("__n")), rows.filter(wanted)
     if edges <= HUB_EDGES:
-        return rows.join(found.drop("__n"), node)
+        return rows.withColumn(least, F.min(value).over(Window.partitionBy(node))).filter(wanted)
+    found, rows = rows.groupBy(node).agg(F.min(value).alias(least), F.count("*").alias("__n")), rows.filter(wanted)
     hubs = F.broadcast(found.filter(F.col("__n") > max(HUB_EDGES, edges // MAX_HUBS)).drop("__n"))
     return rows.join(hubs, node).unionByName(rows.join(hubs.select(node), node, "left_anti").join(found.drop("__n"), node))
 
 
+def _pairs(rows: DataFrame, *pairs: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """A row for each of the pairs of columns in each row, in one pass over rows."""
+    each = F.array(*(F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in pairs))
+    return rows.select(F.explode(each).alias("__pair")).select(*(F.col(f"__pair.{n}") for n in names))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: for every node with an edge to another, the least node of its component. Loops and repeats in edges are ignored."""
     spark = edges.sparkSession
@@ -37,10 +43,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(now) == before:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select("lo", "lo").distinct())
         before = tuple(now)
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        large = _at(both, "u", "v", "m", 2 * now[0], "v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        both = _pairs(e, ("hi", "lo"), ("lo", "hi"), names=("u", "v"))
+        large = _at(both, "u", "v", "m", 2 * now[0], "v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
         least = _at(large, "hi", "lo", "m", now[0])
-        small = least.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = cut(small.union(least.select("hi", "m")).distinct(), "edges")
+        new = cut(_pairs(least, ("lo", "m"), ("hi", "m"), names=("hi", "lo")).filter("hi <> lo").distinct(), "edges")
         discard(spark, e)
         e = new

@@ -1,9 +1,15 @@
 import random
 
+import pytest
+
+from statlens.llm import components as module
 from statlens.llm.components import components
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("hub_edges", [module.HUB_EDGES, 20])
+def test_random_graphs(spark, monkeypatch, hub_edges):
+    monkeypatch.setattr(module, "HUB_EDGES", hub_edges)
+    monkeypatch.setattr(module, "MAX_HUBS", 20)
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(k, k + 1) for k in range(300, 340)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
     root = {x: x for e in edges for x in e}
