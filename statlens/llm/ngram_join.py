@@ -92,7 +92,10 @@ def signatures(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) ->
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
-    """c and grams (sorted hashes) of the classes wanted: c, t (hash of a text with that set). Read from the texts again, which is cheaper than keeping all sets."""
+    """c and grams (sorted hashes) of the classes wanted: c, t (hash of a text with that set), copies (rows with that set). Read from the texts again, which is cheaper than keeping all sets.
+
+    The rows are tables of cut(). Only sets of several rows may be read more than once, so only these are shuffled to keep one of each.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = np.zeros(0, np.int64)  # copies of a text have the same set
@@ -106,12 +109,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
             keep = np.flatnonzero(_set_digest(value, at) == b.column(1).to_numpy())
             done = np.concatenate((done, b.column(1).to_numpy()[keep]))
             grams = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64))).take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(keep)), grams], names=["c", "grams"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(keep)) for k in (1, 2)), grams], names=["c", "copied", "grams"])
 
-    ids = wanted.select("c", F.col("t").alias("_h"))
+    ids = wanted.select("c", F.col("t").alias("_h"), (F.col("copies") > 1).alias("copied"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h")).join(ids, "_h").select("_t", "c")
-    return rows.mapInArrow(run, "c long, grams array<long>").dropDuplicates(["c"])
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h")).join(ids, "_h").select("_t", "c", "copied")
+    found = rows.mapInArrow(run, "c long, copied boolean, grams array<long>")
+    found = cut(found, "sets")
+    copied = cut(found.filter("copied").dropDuplicates(["c"]), "copied-sets")
+    return found.filter("not copied").union(copied).select("c", "grams")
 
 
 def _pairs(tokens: DataFrame, percent: int, hot: int) -> DataFrame:
@@ -181,14 +187,12 @@ def _then_none(it: Iterator) -> Iterator:
     yield None
 
 
-def candidates(docs: DataFrame, rows: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """a, b: edges such that all links lie within the components that they form. rows: signatures()."""
-    prefixes = rows.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    prefixes = cut(prefixes, "prefixes")
+def candidates(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """a, b: edges such that all links lie within the components that they form. rows: signatures(), prefixes left out; prefixes: c, n, prefix of every class, a table of cut() that is removed."""
     pairs = cut(_pairs(prefixes.select("c", "n", F.explode("prefix").alias("t")), percent, HOT), "pairs", [prefixes])
-    heavy = cut(rows.filter("heavy").groupBy("c").agg(F.first("n").alias("n"), F.min("t").alias("t")), "heavy")
-    grams = sets_of(docs, heavy, n, text).join(heavy.select("c", "n"), "c").select("c", "n", F.explode("grams").alias("t"))
-    grams = cut(grams, "heavy-grams", [heavy])
+    heavy = cut(rows.filter("heavy").groupBy("c").agg(F.first("n").alias("n"), F.min("t").alias("t"), F.count("*").alias("copies")), "heavy")
+    sets = sets_of(docs, heavy, n, text)
+    grams = cut(sets.select("c", F.size("grams").alias("n"), F.explode("grams").alias("t")), "heavy-grams", [heavy, sets])
     often = grams.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = grams.join(often, "t", "left").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("all"))
     first = F.least(F.col("n"), F.col("n") + LEAST - F.ceil(F.col("n") * percent / 100.0 - 1e-9)).cast("int")
@@ -229,12 +233,12 @@ def _forest(docs: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
             forest.link(i, j)
 
 
-def links(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """node, root: the linked classes' components. rows: signatures(); classes: c, n, t."""
-    found = candidates(docs, rows, n, percent, text)
+def links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, classes: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """node, root: the linked classes' components. rows, prefixes: see candidates(); classes: c, n, t, copies."""
+    found = candidates(docs, rows, prefixes, n, percent, text)
     groups = components(found)
     members = cut(groups.select(F.col("node").alias("c"), F.col("root").alias("g")).join(classes, "c"), "members", [found])
-    sets = cut(sets_of(docs, members, n, text), "sets")
+    sets = sets_of(docs, members, n, text)
 
     def kernel(t: pa.Table, left: np.ndarray, right: np.ndarray, forest: tiles.Forest) -> None:
         grams = t.column("grams").chunk(0)
@@ -250,10 +254,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id",
 
     Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of n-word shingles.
     """
-    rows = cut(signatures(docs, n, percent, doc_id, text), "signatures")
+    signed = cut(signatures(docs, n, percent, doc_id, text), "signatures")
+    rows = cut(signed.drop("prefix"), "rows")
     full = rows.filter("n > 0")
+    prefixes = signed.filter("n > 0").groupBy("c").agg(F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    prefixes = cut(prefixes, "prefixes", [signed])
     classes = cut(full.groupBy("c").agg(F.first("n").alias("n"), F.min("t").alias("t"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
-    found = links(docs, rows, classes, n, percent, text).withColumnRenamed("node", "c")
+    found = links(docs, rows, prefixes, classes, n, percent, text).withColumnRenamed("node", "c")
     # A class of one document without links is its own component; the others are looked up.
     known = classes.join(found, "c", "left").filter("copies > 1 or root is not null").select("c", "copies", "first_id", F.coalesce("root", "c").alias("root"))
     known = cut(known, "groups", [classes])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, runs
+from .common import cut, discard, few, runs
 from .components import components
 
 #: Finds links in a tile. It gets the members' payloads as a table, which are on the left and right side, and a function to tell a link found
@@ -35,12 +35,14 @@ class Forest:
             self.root[self.root == self.root[j]] = self.root[i]
 
 
-def _tiles(members: DataFrame, tiles: DataFrame, payload: DataFrame, kernel: Kernel) -> DataFrame:
-    """a, b: links found in tiles. members: c, g, unit; tiles: g, ua, ub, tile; payload: c and what the kernel reads."""
+def _tiles(members: DataFrame, tiles: DataFrame, payload: DataFrame, kernel: Kernel, done: list[DataFrame]) -> DataFrame:
+    """a, b: links found in tiles, a table of cut(). members: c, g, unit; tiles: g, ua, ub, tile; payload: c and what the kernel reads; done: tables of cut() that nothing reads afterwards."""
     sides = tiles.select("g", F.col("ua").alias("unit"), "tile", F.lit(True).alias("left"), (F.col("ua") == F.col("ub")).alias("right"))
     sides = sides.union(tiles.filter("ua <> ub").select("g", "ub", "tile", F.lit(False), F.lit(True)))
     names = [x for x in payload.columns if x != "c"]
-    rows = members.join(sides, ["g", "unit"]).select("tile", "c", "left", "right").join(payload, "c").select("tile", "c", "left", "right", *names)
+    # Who goes to which tile is a small table beside the payloads, which then move once, to their tiles.
+    placed = cut(members.join(sides, ["g", "unit"]).select("tile", "c", "left", "right"), "placed")
+    rows = payload.join(few(placed), "c").select("tile", "c", "left", "right", *names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in runs(it):
@@ -51,7 +53,7 @@ def _tiles(members: DataFrame, tiles: DataFrame, payload: DataFrame, kernel: Ker
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[list(x)], pa.int64()) for x in zip(*forest.edges)], names=["a", "b"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "c").mapInArrow(run, "a long, b long")
+    return cut(rows.repartition("tile").sortWithinPartitions("tile", "c").mapInArrow(run, "a long, b long"), "links", [placed, *done])
 
 
 def _units(members: DataFrame, part: list[str], docs: int, weight: int) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +79,7 @@ def links(members: DataFrame, payload: DataFrame, kernel: Kernel, ratio: float,
     zero = units.filter("i = 0").select("g", "band", F.col("unit").alias("ub"))
     pivot = units.filter("i > 0").select("g", "band", F.col("unit").alias("ua")).join(zero, ["g", "band"]).select("g", "ua", "ub")
     tile = F.xxhash64("g", "ua", "ub").alias("tile")
-    first = cut(_tiles(m, own.union(pivot).select("g", "ua", "ub", tile), payload, kernel), "links")
+    first = _tiles(m, own.union(pivot).select("g", "ua", "ub", tile), payload, kernel, [])
     found = components(first)
     rest = banded.filter(~F.col("whole"))
     if rest.isEmpty():
@@ -89,8 +91,7 @@ def links(members: DataFrame, payload: DataFrame, kernel: Kernel, ratio: float,
     m, units = _units(rest, ["band", "core"], docs, weight)
     a, b = (units.select("g", F.col("unit").alias(f"u{x}"), F.col("band").alias(f"b{x}"), F.col("core").alias(f"c{x}")) for x in "ab")
     near = (F.abs(F.col("ba") - F.col("bb")) <= 1) & ~F.col("ca") & (F.col("cb") | (F.col("ua") <= F.col("ub")))
-    second = _tiles(m, a.join(b, "g").filter(near).select("g", "ua", "ub", tile), payload, kernel)
-    all_links = cut(first.union(second), "links", [first, rest])
-    found = components(all_links)
-    discard(all_links.sparkSession, all_links)
+    second = _tiles(m, a.join(b, "g").filter(near).select("g", "ua", "ub", tile), payload, kernel, [rest])
+    found = components(first.union(second))
+    discard(first.sparkSession, first), discard(first.sparkSession, second)
     return found
